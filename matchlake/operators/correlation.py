@@ -104,10 +104,10 @@ def present_correlations(triples: DataFrame, vector_length: int | Column) -> Dat
     """As :func:`range_correlations`, over the vectors that are present."""
     sums = _vector_sums(triples)
     lowest = sums.agg(F.min("vec")).scalar()
-    below = F.explode(F.filter(F.sequence(lowest, F.col("vec1")), lambda v: v < F.col("vec1")))
     pairs = (
         _side(sums, 1)
-        .withColumn("vec2", below)
+        .where(F.col("vec1") > lowest)
+        .withColumn("vec2", F.explode(F.sequence(lowest, F.col("vec1") - 1)))
         .join(_side(sums, 2), "vec2")
         .join(_products(triples), ["vec1", "vec2"], "left")
     )

@@ -151,7 +151,7 @@ def sliding_hero_win_rates(
         sums.select("hero_id", "grid_start", F.inline(windows))
         .select(
             "hero_id",
-            (F.col("grid_start") + F.col("i") * step_ms).alias("slot_ms"),
+            (F.col("grid_start") + F.col("i").cast("long") * step_ms).alias("slot_ms"),
             "games_played",
             F.try_divide("wins", "games_played").alias("win_rate"),
         )

@@ -115,7 +115,7 @@ def weekly_histogram(counts: DataFrame) -> DataFrame:
         .groupBy("field", "value", F.expr(f"(seconds - first) div {WEEK_SECONDS}").alias("bin"))
         .agg(F.sum("count").alias("count"))
     )
-    bins = F.ceil((F.col("last") - F.col("first")) / week).cast("int")
+    bins = F.ceil((F.col("last") - F.col("first")) / week)
     grid = (
         dated.select("field", "value")
         .distinct()
@@ -125,7 +125,7 @@ def weekly_histogram(counts: DataFrame) -> DataFrame:
             "field",
             "value",
             "first",
-            F.explode(F.sequence(F.lit(0), bins - 1)).cast("long").alias("bin"),
+            F.explode(F.sequence(F.lit(0).cast("long"), bins - 1)).alias("bin"),
         )
     )
     start_ms = (F.col("first") + F.col("bin") * week) * 1000
