@@ -8,15 +8,16 @@ last value) is carried over from a summary of the segments.
 
 Only entities above ``1 / MAX_SHARE`` of all rows are cut. At most MAX_SHARE
 entities can be that large, and all their segments together number at most
-``2 * MAX_SHARE``: the two lookups below are bounded whatever the data size,
-which is why they are broadcast.
+``2 * MAX_SHARE``. These lookups are bounded whatever the data size, which is
+why they may pass through the driver and be broadcast. Where no entity is that
+large, the plan is the plain window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_SHARE = 20_000
@@ -47,6 +48,38 @@ class Segmented:
         return rows.join(F.broadcast(carried), [*self.keys, SEGMENT], "left")
 
 
+def _large_keys(
+    df: DataFrame, keys: tuple[str, ...], order: str, min_rows: int, max_share: int
+) -> DataFrame | None:
+    """Keys with more than ``max(min_rows, all rows / max_share)`` rows, and their parts.
+
+    One narrow pass, combined before the shuffle: the grand total comes from the
+    same aggregate and, being the largest count, first.
+    """
+    sizes = df.rollup(*keys).agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("n"),
+        F.min(order).alias("low"),
+        F.max(order).alias("high"),
+    )
+    whole = (1 << len(keys)) - 1
+    candidates = sizes.where(
+        (F.col("level") == whole) | ((F.col("level") == 0) & (F.col("n") > min_rows))
+    ).orderBy(F.desc("n"), F.desc("level"))
+    # Any key beyond these holds less than its share.
+    total, *largest_first = candidates.limit(max_share + 1).collect()
+    limit = max(min_rows, total["n"] // max_share)
+    large = [
+        (*(row[k] for k in keys), row["low"], row["high"], -(-row["n"] // limit))
+        for row in largest_first
+        if row["n"] > limit
+    ]
+    if not large:
+        return None
+    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.sparkSession.createDataFrame(large, f"{types}, low long, high long, parts long")
+
+
 def split(
     df: DataFrame,
     keys: tuple[str, ...],
@@ -54,30 +87,21 @@ def split(
     min_rows: int = MIN_ROWS,
     max_share: int = MAX_SHARE,
 ) -> Segmented:
-    """Cut the keys that hold more than ``max(min_rows, all rows / max_share)`` rows.
+    """Cut the large keys of ``df`` along ``order``, an integer column.
 
-    ``order`` must be numeric. Equal values stay in one segment.
+    Equal values of ``order`` stay in one segment.
     """
-    sizes = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")
-    )
-    total = sizes.agg(F.sum("n")).scalar()
-    largest = F.greatest(F.lit(min_rows), (total / max_share).cast("long"))
-    large = sizes.where(F.col("n") > largest).select(
-        *keys, "low", "high", F.ceil(F.col("n") / largest).alias("parts")
-    )
-
-    def number(low: Column, high: Column, parts: Column) -> Column:
-        share = (F.col(order) - low) / (high - low + 1)
-        return F.least(F.floor(share * parts), parts - 1)
-
-    segment = number(F.col("low"), F.col("high"), F.col("parts"))
+    large = _large_keys(df, keys, order, min_rows, max_share)
+    if large is None:
+        whole = df.withColumn(SEGMENT, F.lit(0).cast("long"))
+        return Segmented(whole, whole.where(F.lit(False)), keys, order)
+    share = (F.col(order) - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    number = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
     helper = ("low", "high", "parts")
     rows = df.join(F.broadcast(large), list(keys), "left")
-    large_rows = df.join(F.broadcast(large), list(keys))
     return Segmented(
-        rows.withColumn(SEGMENT, F.coalesce(segment, F.lit(0))).drop(*helper),
-        large_rows.withColumn(SEGMENT, segment).drop(*helper),
+        rows.withColumn(SEGMENT, F.coalesce(number, F.lit(0).cast("long"))).drop(*helper),
+        df.join(F.broadcast(large), list(keys)).withColumn(SEGMENT, number).drop(*helper),
         keys,
         order,
     )

@@ -31,10 +31,14 @@ def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
         result = F.when(F.col("real"), F.col("win"))
         return (
             rows.withColumn("real", real)
-            .withColumn("local_game", F.count("*").over(up_to(w)))
-            .withColumn("local_real", F.count_if("real").over(up_to(w)))
-            .withColumn("first_result", F.first(result, ignorenulls=True).over(up_to(w)))
-            .withColumn("local_previous", F.last(result, ignorenulls=True).over(before(w)))
+            .withColumns(
+                {
+                    "local_game": F.count("*").over(up_to(w)),
+                    "local_real": F.count_if("real").over(up_to(w)),
+                    "first_result": F.first(result, ignorenulls=True).over(up_to(w)),
+                    "local_previous": F.last(result, ignorenulls=True).over(before(w)),
+                }
+            )
             .withColumn(
                 "local_turn",
                 F.when(F.col("real") & (F.col("win") != F.col("local_previous")), F.col("local_real")),
@@ -157,9 +161,13 @@ def win_rate_windows(
     rows = cut.rows.withColumn("lent", F.lit(False)).unionByName(lent)
     ahead = cut.window.rowsBetween(Window.currentRow, window_size - 1)
     windows = (
-        rows.withColumn("local_no", F.row_number().over(cut.window))
-        .withColumn("games", F.count("*").over(ahead))
-        .withColumn("wins", F.count_if("win").over(ahead))
+        rows.withColumns(
+            {
+                "local_no": F.row_number().over(cut.window),
+                "games": F.count("*").over(ahead),
+                "wins": F.count_if("win").over(ahead),
+            }
+        )
         .where(~F.col("lent"))
     )
     windows = cut.attach(windows, offsets).withColumn(
