@@ -7,6 +7,10 @@ absent entries being 0,
 
 so a distance needs a join on the shared rows only. The first sum is the same
 for all clusters and is left out when they are compared.
+
+Entries are laid out by player row once. Distances, means and the next
+centroids all keep that layout, so an iteration moves no entries between
+tasks, only one partial sum per task, hero and cluster.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, checkpoint_by, fixed_plans
 from ..sources.dimensions import lookup
 
 
@@ -55,7 +59,8 @@ def _centroids(shares: DataFrame, members: DataFrame, previous: DataFrame) -> Da
 
 def hero_clusters(shares: DataFrame, k: int, iterations: int) -> DataFrame:
     """(hero_id, cluster) after ``iterations`` updates from the ``k`` lowest heroes."""
-    shares = checkpoint(shares.select("hero_id", "player_row", "share"))
+    spark = shares.sparkSession
+    shares = checkpoint_by(shares.select("hero_id", "player_row", "share"), "player_row")
     heroes = shares.select("hero_id").distinct()
     lowest = heroes.orderBy("hero_id").limit(k)
     number = F.row_number().over(Window.orderBy("hero_id")) - 1
@@ -64,8 +69,9 @@ def hero_clusters(shares: DataFrame, k: int, iterations: int) -> DataFrame:
         "cluster", "player_row", F.col("share").alias("centre")
     )
     for _ in range(iterations):
-        members = lookup(checkpoint(_assign(shares, heroes, centroids, k)))
-        centroids = checkpoint(_centroids(shares, members, centroids))
+        with fixed_plans(spark):
+            members = lookup(checkpoint(_assign(shares, heroes, centroids, k)))
+            centroids = checkpoint(_centroids(shares, members, centroids))
     return _assign(shares, heroes, centroids, k)
 
 

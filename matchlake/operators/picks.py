@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Account ids are 32 bits wide, so there are at most 2^16 blocks of 2^16 ids.
-_BLOCK = 1 << 16
+_BLOCK_BITS = 16
+_BLOCK = 1 << _BLOCK_BITS
 
 
 def row_number_column(size_filter: int) -> str:
@@ -30,7 +31,11 @@ def player_row_numbers(timeline: DataFrame, size_filter: int) -> DataFrame:
         .groupBy("account_id")
         .agg(F.count("*").alias("games"))
         .where(F.col("games") >= size_filter)
-        .select("account_id", F.floor(F.col("account_id") / _BLOCK).alias("block"))
+        # Never null, so that both uses below keep the same plan and share its shuffle.
+        .select(
+            "account_id",
+            F.coalesce(F.shiftright("account_id", _BLOCK_BITS), F.lit(0)).alias("block"),
+        )
     )
     blocks = players.groupBy("block").agg(F.count("*").alias("players"))
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +92,7 @@ def pick_vectors(shares: DataFrame, block_rows: int = _BLOCK) -> DataFrame:
     """
     entry = F.struct("player_row", "share")
     return (
-        shares.groupBy("hero_id", F.floor(F.col("player_row") / block_rows).alias("block"))
+        shares.groupBy("hero_id", F.expr(f"player_row div {block_rows}").alias("block"))
         .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
         .select(
             "hero_id",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="matchlake-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan without runtime changes, so that a checkpoint keeps its partitioning."""
+    key = "spark.sql.adaptive.enabled"
+    adaptive = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, adaptive)
+
+
+def checkpoint_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Checkpoint laid out by columns; later joins and aggregates on them need no shuffle.
+
+    For columns without skew only, as the layout is fixed. What leads up to ``df``
+    still runs adaptively.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settled = checkpoint(df)
+    with fixed_plans(spark):
+        return checkpoint(settled.repartition(partitions, *columns))

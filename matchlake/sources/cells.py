@@ -55,13 +55,15 @@ def latest(cells: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, puts: DataFrame) -> DataFrame:
     """Table after ``puts``: a put at an existing (entity, qualifier, ts) replaces the value.
 
-    One shuffle on the key, combined before it, so a hot entity stays cheap.
+    One shuffle on the key, combined before it, so a hot entity stays cheap. Of
+    several puts at one key the largest value stays.
     """
-    both = stored.select(*KEY, "value", F.lit(0).alias("put")).unionByName(
-        puts.select(*KEY, "value", F.lit(1).alias("put"))
-    )
-    return both.groupBy(*KEY).agg(
-        F.max_by("value", F.struct("put", "value")).alias("value")
+    before = stored.select(*KEY, F.col("value").alias("old"), F.lit(None).cast("double").alias("new"))
+    after = puts.select(*KEY, F.lit(None).cast("double").alias("old"), F.col("value").alias("new"))
+    return (
+        before.unionByName(after)
+        .groupBy(*KEY)
+        .agg(F.coalesce(F.max("new"), F.max("old")).alias("value"))
     )
 
 
