@@ -28,7 +28,7 @@ def names(documents: DataFrame, schema: str, container: str, id_column: str, nam
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files, one per row."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def hero_names(documents: DataFrame) -> DataFrame:
