@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from matchlake.plans.queries import QUERIES
-from matchlake.session import configure
+from matchlake.session import STARTUP_CONF, configure
 
 
 def main() -> None:
@@ -28,6 +28,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "8g")
+        .config(map=STARTUP_CONF)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -65,8 +65,8 @@ def winner_barracks(radiant_win: Column, radiant: Column, dire: Column) -> Colum
 
 def _lookup(names: dict[int, str], key: Column) -> Column:
     """Name for a code from a handful of fixed entries; null when unknown."""
-    entries = [F.lit(part) for pair in names.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(f"{code}, '{name}'" for code, name in names.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def game_mode_name(code: Column) -> Column:

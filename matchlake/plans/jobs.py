@@ -30,7 +30,7 @@ from ..operators import (
     timeline,
 )
 from ..schemas import narrow_raw_match
-from ..session import configure
+from ..session import STARTUP_CONF, configure
 from ..sources import cells, dimensions, files
 from . import chains
 
@@ -381,5 +381,7 @@ def run(spark: SparkSession, arguments: list[str]) -> None:
 
 
 def main(arguments: list[str]) -> None:
-    spark = configure(SparkSession.builder.appName("matchlake").getOrCreate())
+    spark = configure(
+        SparkSession.builder.appName("matchlake").config(map=STARTUP_CONF).getOrCreate()
+    )
     run(spark, arguments)

@@ -67,7 +67,7 @@ def _text(array: Column) -> Column:
 
 
 def _matches(spark: SparkSession, sf_dir: str, *player_fields: str) -> DataFrame:
-    return source.matches(spark, sf_dir, player_fields or ("leaver_status",))
+    return source.matches(spark, sf_dir, player_fields)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +152,12 @@ def hero_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def real_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.real_matches(_matches(spark, sf_dir))
+    return classify.real_matches(_matches(spark, sf_dir, "leaver_status"))
 
 
 @query
 def real_match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.real_match_counters(_matches(spark, sf_dir))
+    return classify.real_match_counters(_matches(spark, sf_dir, "leaver_status"))
 
 
 @query
@@ -404,12 +404,12 @@ def group_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def winner_rax_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram.winner_rax_counts(_matches(spark, sf_dir))
+    return histogram.winner_rax_counts(_matches(spark, sf_dir, "leaver_status"))
 
 
 @query
 def winner_rax_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = histogram.winner_rax_counts(_matches(spark, sf_dir))
+    counts = histogram.winner_rax_counts(_matches(spark, sf_dir, "leaver_status"))
     return _rounded(histogram.winner_rax_percent(counts), "percent")
 
 

@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Settings for sessions made here; they cannot be changed later. Plans have many
+# expressions, and recording the call site of each takes longer than planning.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""

@@ -7,11 +7,10 @@ the schemas of the match and player tables, so all operators run on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions import values
 from ..operators import classify, derive
 from ..schemas import ITEM_FIELDS, PLAYER
 from ..session import configure
@@ -25,115 +24,98 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per player seat, with the event's own time as version."""
-    at = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.expr("event_id div 10").alias("match_id"),
-        (F.col("event_id") % 10).cast("int").alias("pos"),
-        F.unix_micros(at).alias("ver_us"),
-        F.unix_millis(at).alias("ver_ms"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.col("value").alias("v"),
+        "event_id div 10 AS match_id",
+        "CAST(event_id % 10 AS INT) AS pos",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS ver_us",
+        "unix_millis(CAST(ts AS TIMESTAMP)) AS ver_ms",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "value AS v",
         "user_id",
     )
 
 
-def _floor(value: Column) -> Column:
-    return F.floor(value).cast("int")
-
-
-def _items(k: Column) -> Column:
-    return F.array(*((k + i * 37) % 241 for i in range(6)))
-
-
-def _abilities(k: Column) -> Column:
-    upgrades = F.transform(
-        F.sequence(F.lit(1), k % 5 + 1),
-        lambda i: F.struct(i.alias("level"), (i + 5000).alias("ability_id"), (i * 60).alias("time")),
-    )
-    return F.when(k % 10 == 0, F.slice(upgrades, 1, 0)).otherwise(upgrades)
-
-
-def player_columns() -> dict[str, Column]:
-    """Player fields over the columns of :func:`seats`."""
-    event_id, k, v, pos, user = (F.col(c) for c in ("event_id", "k", "v", "pos", "user_id"))
-    null_int = F.lit(None).cast("int")
-    bot = user % 50 == 7
-    unit = F.struct(F.lit("spirit_bear").alias("name"), _items(k).alias("item_ids"))
-    return {
-        "gold_spent": _floor(v * 100),
-        "gold": _floor(v * 40),
-        "deaths": (event_id * 7 % 25).cast("int"),
-        "hero_damage": _floor(v * 200),
-        "last_hits": (event_id * 13 % 400).cast("int"),
-        "player_slot": F.when(pos < 5, pos).otherwise(pos + 123),
-        "denies": (event_id * 5 % 50).cast("int"),
-        "ability_upgrades": _abilities(k),
-        "tower_damage": _floor(v * 30),
-        "hero_id": k % 20 + 1,
-        "exp_per_minute": v * 1.5,
-        "account_id": F.when(user % 15 == 0, F.lit(fixed.ANONYMOUS))
-        .when(bot, null_int)
-        .otherwise(user.cast("int")),
-        "kills": k % 30,
-        "leaver_status": F.when(bot, null_int)
-        .when(k >= 98, F.lit(2))
-        .when(k >= 93, F.lit(1))
-        .otherwise(F.lit(0)),
-        "hero_healing": _floor(v * 10),
-        "assists": (event_id * 3 % 40).cast("int"),
-        "gold_per_minute": v,
-        "level": F.when(k == 77, F.lit(26)).otherwise(k % 25 + 1),
-        "item_ids": _items(k),
-        "additional_units": F.when((k % 25).isin(3, 4), unit),
-        # Beside the stored record: the seat's own version and row id.
-        "ver_us": F.col("ver_us"),
-        "ver_ms": F.col("ver_ms"),
-        "event_id": event_id,
-    }
+_ITEMS = "transform(sequence(0, 5), i -> (k + i * 37) % 241)"
+_UPGRADES = (
+    "transform(sequence(1, k % 5 + 1),"
+    " i -> named_struct('level', i, 'ability_id', i + 5000, 'time', i * 60))"
+)
+
+# Player fields over the columns of a seat. The last three lie beside the stored
+# record: the seat's own version and row id.
+PLAYER_SQL = {
+    "gold_spent": "CAST(floor(v * 100) AS INT)",
+    "gold": "CAST(floor(v * 40) AS INT)",
+    "deaths": "CAST(event_id * 7 % 25 AS INT)",
+    "hero_damage": "CAST(floor(v * 200) AS INT)",
+    "last_hits": "CAST(event_id * 13 % 400 AS INT)",
+    "player_slot": "IF(pos < 5, pos, pos + 123)",
+    "denies": "CAST(event_id * 5 % 50 AS INT)",
+    "ability_upgrades": f"slice({_UPGRADES}, 1, IF(k % 10 = 0, 0, 5))",
+    "tower_damage": "CAST(floor(v * 30) AS INT)",
+    "hero_id": "k % 20 + 1",
+    "exp_per_minute": "v * 1.5D",
+    "account_id": f"CASE WHEN user_id % 15 = 0 THEN {fixed.ANONYMOUS}"
+    " WHEN user_id % 50 = 7 THEN NULL ELSE CAST(user_id AS INT) END",
+    "kills": "k % 30",
+    "leaver_status": "CASE WHEN user_id % 50 = 7 THEN NULL"
+    " WHEN k >= 98 THEN 2 WHEN k >= 93 THEN 1 ELSE 0 END",
+    "hero_healing": "CAST(floor(v * 10) AS INT)",
+    "assists": "CAST(event_id * 3 % 40 AS INT)",
+    "gold_per_minute": "v",
+    "level": "IF(k = 77, 26, k % 25 + 1)",
+    "item_ids": _ITEMS,
+    "additional_units": f"IF(k % 25 IN (3, 4), named_struct('name', 'spirit_bear', 'item_ids', {_ITEMS}), NULL)",
+    "ver_us": "ver_us",
+    "ver_ms": "ver_ms",
+    "event_id": "event_id",
+}
+
+MATCH_SQL = {
+    "match_id": "match_id",
+    "start_ms": "start_ms",
+    "dire_towers_status": "CAST(match_id * 211 % 2048 AS INT)",
+    "radiant_towers_status": "CAST(match_id * 101 % 2048 AS INT)",
+    "dire_barracks_status": "CAST(match_id * 53 % 64 AS INT)",
+    "radiant_barracks_status": "CAST(match_id * 37 % 64 AS INT)",
+    "cluster": "CAST(match_id % 10 + 111 AS INT)",
+    "season": "IF(match_id % 10 = 0, NULL, CAST(match_id % 5 AS INT))",
+    "game_mode": "IF(match_id % 97 = 0, 99, CAST(match_id % 15 AS INT))",
+    "match_seq_num": "match_id * 3 + 1",
+    "league_id": "CAST(match_id % 7 AS INT)",
+    "first_blood_time": "CAST(match_id % 600 AS INT)",
+    "negative_votes": "CAST(match_id % 4 AS INT)",
+    "duration": "IF(match_id % 31 = 0, -1, CAST(match_id % 3600 + 600 AS INT))",
+    "radiant_win": "k_sum % 2 = 0",
+    "positive_votes": "CAST(match_id % 6 AS INT)",
+    "lobby_type": "CAST(match_id * 7 % 8 - 1 AS INT)",
+    "human_players": "IF(match_id % 20 = 0, 9, 10)",
+}
 
 
 def matches(
     spark: SparkSession, sf_dir: str, player_fields: tuple[str, ...] = RECORD_FIELDS
 ) -> DataFrame:
-    """One row per match. Naming only the needed player fields keeps the shuffle narrow."""
-    columns = player_columns()
-    seat = F.struct("pos", *(columns[name].alias(name) for name in player_fields))
-    grouped = (
-        seats(spark, sf_dir)
-        .groupBy("match_id")
-        .agg(
-            F.min("ver_ms").alias("start_ms"),
-            F.sum("k").alias("k_sum"),
-            F.sort_array(F.collect_list(seat)).alias("seated"),
-        )
-    )
-    m = F.col("match_id")
-
-    def small(value: Column) -> Column:
-        return value.cast("int")
-
-    return grouped.select(
-        "match_id",
-        "start_ms",
-        small(m * 211 % 2048).alias("dire_towers_status"),
-        small(m * 101 % 2048).alias("radiant_towers_status"),
-        small(m * 53 % 64).alias("dire_barracks_status"),
-        small(m * 37 % 64).alias("radiant_barracks_status"),
-        small(m % 10 + 111).alias("cluster"),
-        F.when(m % 10 != 0, small(m % 5)).alias("season"),
-        F.when(m % 97 == 0, F.lit(99)).otherwise(small(m % 15)).alias("game_mode"),
-        (m * 3 + 1).alias("match_seq_num"),
-        small(m % 7).alias("league_id"),
-        small(m % 600).alias("first_blood_time"),
-        small(m % 4).alias("negative_votes"),
-        F.when(m % 31 == 0, F.lit(-1)).otherwise(small(m % 3600 + 600)).alias("duration"),
-        (F.col("k_sum") % 2 == 0).alias("radiant_win"),
-        small(m % 6).alias("positive_votes"),
-        small(m * 7 % 8 - 1).alias("lobby_type"),
-        F.when(m % 20 == 0, F.lit(9)).otherwise(F.lit(10)).alias("human_players"),
-        F.transform("seated", lambda p: p.dropFields("pos")).alias("players"),
-    )
+    """One row per match, with the named player fields; without any, no players.
+
+    Seats of a match are brought together as the narrow source rows they are and
+    made into players afterwards: a list of all rows has nothing to combine
+    earlier, and the player records are several times as wide.
+    """
+    rows = seats(spark, sf_dir)
+    sums = ["min(ver_ms) AS start_ms", "sum(k) AS k_sum"]
+    columns = [f"{text} AS {name}" for name, text in MATCH_SQL.items()]
+    if player_fields:
+        # Work per match outweighs its bytes: keep all partitions, however small.
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(partitions, "match_id")
+        seat = ", ".join(f"'{name}', {PLAYER_SQL[name]}" for name in player_fields)
+        # Ten seats at most, by the definition of the match id.
+        listed = f"sort_array(collect_list(named_struct('pos', pos, 'player', named_struct({seat}))))"
+        sums.append(f"{listed} AS seated")
+        columns.append("seated.player AS players")
+    return rows.groupBy("match_id").agg(*map(F.expr, sums)).selectExpr(*columns)
 
 
 def derived_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +132,8 @@ def match_players(
     spark: SparkSession, sf_dir: str, player_fields: tuple[str, ...] = RECORD_FIELDS
 ) -> DataFrame:
     """One row per seat with its player fields, straight from the events."""
-    columns = player_columns()
-    return seats(spark, sf_dir).select(
-        "match_id", "pos", *(columns[name].alias(name) for name in player_fields)
-    )
+    columns = [f"{PLAYER_SQL[name]} AS {name}" for name in player_fields]
+    return seats(spark, sf_dir).selectExpr("match_id", "pos", *columns)
 
 
 def player_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,81 +146,61 @@ def player_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.player_timeline(wide, versions=("ver_us", "ver_ms"))
 
 
+def _named_struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in fields.items()) + ")"
+
+
+def _raw_items(ids: str) -> dict[str, str]:
+    return {name: f"{ids}[{i}]" for i, name in enumerate(ITEM_FIELDS)}
+
+
 def raw_match_lines(matches: DataFrame) -> DataFrame:
     """Raw JSON text of matches, one line per match, in column ``value``."""
-
-    def raw_items(ids: Column) -> list[Column]:
-        return [ids[i].alias(name) for i, name in enumerate(ITEM_FIELDS)]
-
-    def unit_json(p: Column) -> Column:
-        unit = F.to_json(
-            F.struct(
-                p["additional_units"]["name"].alias("unitname"),
-                *raw_items(p["additional_units"]["item_ids"]),
-            )
-        )
-        # The feed sometimes wraps the unit in a list.
-        listed = F.when(p["level"] == 5, F.concat(F.lit("["), unit, F.lit("]"))).otherwise(unit)
-        text = F.concat(F.lit(',"additional_units":'), listed)
-        return F.when(p["additional_units"].isNotNull(), text).otherwise(F.lit(""))
-
-    def player_json(p: Column) -> Column:
-        upgrades = F.when(
-            F.size(p["ability_upgrades"]) > 0,
-            F.transform(
-                p["ability_upgrades"],
-                lambda a: F.struct(a["ability_id"].alias("ability"), a["time"], a["level"]),
-            ),
-        )
-        account = values.unsigned_account_id(p["account_id"])
-        same_name = [
-            "player_slot", "hero_id", "kills", "deaths", "assists", "leaver_status", "gold",
-            "last_hits", "denies", "gold_spent", "hero_damage", "tower_damage",
-            "hero_healing", "level",
-        ]
-        record = F.to_json(
-            F.struct(
-                account.alias("account_id"),
-                *(p[name].alias(name) for name in same_name),
-                p["gold_per_minute"].alias("gold_per_min"),
-                p["exp_per_minute"].alias("xp_per_min"),
-                *raw_items(p["item_ids"]),
-                upgrades.alias("ability_upgrades"),
-            )
-        )
-        return F.concat(F.lit("{"), _inner(record), unit_json(p), F.lit("}"))
-
-    def _inner(record: Column) -> Column:
-        return F.substring(record, F.lit(2), F.length(record) - 2)
-
-    scalars = F.to_json(
-        F.struct(
-            "season",
-            "radiant_win",
-            "duration",
-            F.expr("start_ms div 1000").alias("start_time"),
-            "match_id",
-            "match_seq_num",
-            F.col("radiant_towers_status").alias("tower_status_radiant"),
-            F.col("dire_towers_status").alias("tower_status_dire"),
-            F.col("radiant_barracks_status").alias("barracks_status_radiant"),
-            F.col("dire_barracks_status").alias("barracks_status_dire"),
-            "cluster",
-            "first_blood_time",
-            "lobby_type",
-            "human_players",
-            F.col("league_id").alias("leagueid"),
-            "positive_votes",
-            "negative_votes",
-            "game_mode",
-        )
-    )
-    players = F.array_join(F.transform("players", player_json), ",")
-    return matches.select(
-        F.concat(F.lit('{"players":['), players, F.lit("],"), F.substring(scalars, 2, 1 << 20)).alias(
-            "value"
-        )
-    )
+    same = [
+        "player_slot", "hero_id", "kills", "deaths", "assists", "leaver_status", "gold", "last_hits",
+        "denies", "gold_spent", "hero_damage", "tower_damage", "hero_healing", "level",
+    ]
+    player = {
+        "account_id": "IF(p.account_id < 0, p.account_id + 4294967296, p.account_id)",
+        **{name: f"p.{name}" for name in same},
+        "gold_per_min": "p.gold_per_minute",
+        "xp_per_min": "p.exp_per_minute",
+        **_raw_items("p.item_ids"),
+        # No upgrades means no field.
+        "ability_upgrades": "IF(size(p.ability_upgrades) > 0, transform(p.ability_upgrades, a -> "
+        + _named_struct({"ability": "a.ability_id", "time": "a.time", "level": "a.level"})
+        + "), NULL)",
+    }
+    unit = {"unitname": "p.additional_units.name", **_raw_items("p.additional_units.item_ids")}
+    unit_json = f"to_json({_named_struct(unit)})"
+    # The feed sometimes wraps the unit in a list.
+    listed = f"IF(p.level = 5, concat('[', {unit_json}, ']'), {unit_json})"
+    unit_field = f"IF(p.additional_units IS NULL, '', concat('\"additional_units\":', {listed}, ','))"
+    rest_of_player = f"substring(to_json({_named_struct(player)}), 2)"
+    player_text = f"concat('{{', {unit_field}, {rest_of_player})"
+    players = f"array_join(transform(players, p -> {player_text}), ',')"
+    match = {
+        "season": "season",
+        "radiant_win": "radiant_win",
+        "duration": "duration",
+        "start_time": "start_ms div 1000",
+        "match_id": "match_id",
+        "match_seq_num": "match_seq_num",
+        "tower_status_radiant": "radiant_towers_status",
+        "tower_status_dire": "dire_towers_status",
+        "barracks_status_radiant": "radiant_barracks_status",
+        "barracks_status_dire": "dire_barracks_status",
+        "cluster": "cluster",
+        "first_blood_time": "first_blood_time",
+        "lobby_type": "lobby_type",
+        "human_players": "human_players",
+        "leagueid": "league_id",
+        "positive_votes": "positive_votes",
+        "negative_votes": "negative_votes",
+        "game_mode": "game_mode",
+    }
+    rest = f"substring(to_json({_named_struct(match)}), 2)"
+    return matches.selectExpr(f"concat('{{\"players\":[', {players}, '],', {rest}) AS value")
 
 
 def corrupt_some(lines: DataFrame) -> DataFrame:

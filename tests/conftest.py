@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from matchlake.session import configure
+    from matchlake.session import STARTUP_CONF, configure
 
     session = (
         SparkSession.builder.master("local[8]")
@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        .config(map=STARTUP_CONF)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
