@@ -25,19 +25,19 @@ from ..sources.dimensions import lookup
 def _assign(shares: DataFrame, heroes: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
     """(hero_id, cluster): the nearest centroid, the lowest cluster among equals."""
     x, c = F.col("share"), F.col("centre")
-    shared = (
-        shares.join(centroids, "player_row")
-        .groupBy("hero_id", "cluster")
-        .agg(F.sum(F.abs(x - c) - F.abs(x) - F.abs(c)).alias("shared"))
+    shared = shares.join(centroids, "player_row").select(
+        "hero_id", "cluster", (F.abs(x - c) - F.abs(x) - F.abs(c)).alias("shared")
     )
+    # A hero that shares no row with a cluster still has a distance to it.
+    every_cluster = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    nothing = heroes.select("hero_id", every_cluster.alias("cluster"), F.lit(0.0).alias("shared"))
+    sums = shared.unionByName(nothing).groupBy("hero_id", "cluster").agg(F.sum("shared").alias("sum"))
     # One row per cluster, and k is an argument.
     norms = centroids.groupBy("cluster").agg(F.sum(F.abs(c)).alias("norm"))
-    pairs = heroes.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     # Equal distances may differ in the last bits, depending on the order of the sums.
-    distance = F.round(F.col("norm") + F.coalesce("shared", F.lit(0.0)), 9)
+    distance = F.round(F.col("norm") + F.col("sum"), 9)
     return (
-        pairs.join(F.broadcast(norms), "cluster")
-        .join(shared, ["hero_id", "cluster"], "left")
+        sums.join(F.broadcast(norms), "cluster")
         .groupBy("hero_id")
         .agg(F.min_by("cluster", F.struct(distance, "cluster")).alias("cluster"))
     )
@@ -61,7 +61,7 @@ def hero_clusters(shares: DataFrame, k: int, iterations: int) -> DataFrame:
     """(hero_id, cluster) after ``iterations`` updates from the ``k`` lowest heroes."""
     spark = shares.sparkSession
     shares = checkpoint_by(shares.select("hero_id", "player_row", "share"), "player_row")
-    heroes = shares.select("hero_id").distinct()
+    heroes = checkpoint(shares.select("hero_id").distinct())
     lowest = heroes.orderBy("hero_id").limit(k)
     number = F.row_number().over(Window.orderBy("hero_id")) - 1
     seeds = lowest.select("hero_id", number.alias("cluster"))
@@ -69,8 +69,8 @@ def hero_clusters(shares: DataFrame, k: int, iterations: int) -> DataFrame:
         "cluster", "player_row", F.col("share").alias("centre")
     )
     for _ in range(iterations):
+        members = lookup(checkpoint(_assign(shares, heroes, centroids, k)))
         with fixed_plans(spark):
-            members = lookup(checkpoint(_assign(shares, heroes, centroids, k)))
             centroids = checkpoint(_centroids(shares, members, centroids))
     return _assign(shares, heroes, centroids, k)
 
