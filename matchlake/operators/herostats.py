@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.slots import slot_start
+from ..sources import cells
 from .classify import real_match_status
 
 
@@ -32,22 +33,19 @@ def hero_win_rates(matches: DataFrame, interval: int, min_status: float = 1.0) -
     )
 
 
+def _cells(rates: DataFrame, suffix: str) -> DataFrame:
+    qualifiers = {f"games_played_{suffix}": "games_played", f"win_rate_{suffix}": "win_rate"}
+    return cells.from_columns(rates, "hero_id", "slot_ms", **qualifiers)
+
+
 def hero_cells(rates: DataFrame, interval: int) -> DataFrame:
     """Hero statistics as versioned cells; the interval is part of the qualifier."""
-    entries = F.array(
-        F.struct(
-            F.lit(f"games_played_{interval}").alias("qualifier"),
-            F.col("games_played").alias("value"),
-        ),
-        F.struct(F.lit(f"win_rate_{interval}").alias("qualifier"), F.col("win_rate").alias("value")),
-    )
-    return rates.select(
-        F.col("hero_id").cast("long").alias("entity"), F.col("slot_ms").alias("ts"), F.inline(entries)
-    ).select("entity", "qualifier", "ts", "value")
+    return _cells(rates, str(interval))
 
 
-def sliding_column(start_interval: int, window_step: int) -> str:
-    return f"win_rate_average_{start_interval * window_step}"
+def sliding_cells(rates: DataFrame, start_interval: int, window_step: int) -> DataFrame:
+    """Smoothed statistics as versioned cells, named after the distance of their slots."""
+    return _cells(rates, f"average_{start_interval * window_step}")
 
 
 def sliding_hero_win_rates(

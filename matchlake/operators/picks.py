@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import cells
+
 # Account ids are 32 bits wide, so there are at most 2^16 blocks of 2^16 ids.
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
 
 
-def row_number_column(size_filter: int) -> str:
-    return f"row_number_{size_filter}"
-
-
 def classified_games(timeline: DataFrame) -> DataFrame:
     """Games in matches with any status."""
     return timeline.where(F.col("real_match").isNotNull())
@@ -50,6 +48,14 @@ def player_row_numbers(timeline: DataFrame, size_filter: int) -> DataFrame:
     )
 
 
+def row_number_cells(numbers: DataFrame, size_filter: int, ts: int = 0) -> DataFrame:
+    """Row numbers as cells; the size filter is part of the qualifier."""
+    stamped = numbers.withColumn("ts", F.lit(ts))
+    return cells.from_columns(
+        stamped, "account_id", "ts", **{f"row_number_{size_filter}": "row_number"}
+    )
+
+
 def hero_counts(timeline: DataFrame) -> DataFrame:
     """Classified games per (player, hero)."""
     return (

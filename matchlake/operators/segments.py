@@ -8,9 +8,12 @@ last value) is carried over from a summary of the segments.
 
 Only entities above ``1 / MAX_SHARE`` of all rows are cut. At most MAX_SHARE
 entities can be that large, and all their segments together number at most
-``2 * MAX_SHARE``. These lookups are bounded whatever the data size, which is
-why they may pass through the driver and be broadcast. Where no entity is that
-large, the plan is the plain window.
+``(FINER + 1) * MAX_SHARE``. These lookups are bounded whatever the data size,
+which is why they may pass through the driver and be broadcast. Where no entity
+is that large, the plan is the plain window.
+
+Segments are even along the order column and FINER times as many as an even
+spread needs, so that a stretch with that many times the usual rows still fits.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MAX_SHARE = 20_000
+MAX_SHARE = 10_000
+FINER = 4
 MIN_ROWS = 1_000_000
 SEGMENT = "segment"
 
@@ -67,10 +71,13 @@ def _large_keys(
         (F.col("level") == whole) | ((F.col("level") == 0) & (F.col("n") > min_rows))
     ).orderBy(F.desc("n"), F.desc("level"))
     # Any key beyond these holds less than its share.
-    total, *largest_first = candidates.limit(max_share + 1).collect()
+    found = candidates.limit(max_share + 1).collect()
+    if not found:
+        return None
+    total, *largest_first = found
     limit = max(min_rows, total["n"] // max_share)
     large = [
-        (*(row[k] for k in keys), row["low"], row["high"], -(-row["n"] // limit))
+        (*(row[k] for k in keys), row["low"], row["high"], -(-FINER * row["n"] // limit))
         for row in largest_first
         if row["n"] > limit
     ]

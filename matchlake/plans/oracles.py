@@ -441,6 +441,16 @@ SELECT CAST(hero_id AS BIGINT) AS entity, 'games_played_{q.DAY}' AS qualifier, s
        games_played AS value FROM r
 UNION ALL
 SELECT CAST(hero_id AS BIGINT), 'win_rate_{q.DAY}', slot_ms, {_tidy('win_rate')} FROM r""",
+    "sliding_cells": f"""
+, {_SLIDING}
+SELECT CAST(hero_id AS BIGINT) AS entity, 'games_played_average_{q.SLOT * q.STEP}' AS qualifier, slot_ms AS ts,
+       games_played AS value FROM smoothed
+UNION ALL
+SELECT CAST(hero_id AS BIGINT), 'win_rate_average_{q.SLOT * q.STEP}', slot_ms, {_tidy('win_rate')} FROM smoothed""",
+    "row_number_cells": f"""
+, {_ROWS}
+SELECT account_id AS entity, 'row_number_{q.ROW_SIZE}' AS qualifier, CAST(0 AS BIGINT) AS ts, row_number AS value
+FROM rows""",
     # hero statistics and skill
     "hero_win_rates": f"""
 , {_rates("r", q.SLOT)}

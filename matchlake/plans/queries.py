@@ -212,6 +212,17 @@ def hero_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(herostats.hero_cells(_rates(spark, sf_dir, DAY), DAY), "value")
 
 
+@query
+def sliding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(herostats.sliding_cells(_sliding(spark, sf_dir), SLOT, STEP), "value")
+
+
+@query
+def row_number_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = picks.player_row_numbers(source.player_timeline(spark, sf_dir), ROW_SIZE)
+    return picks.row_number_cells(numbers, ROW_SIZE)
+
+
 # --- hero statistics and skill ----------------------------------------------------------
 
 

@@ -248,4 +248,5 @@ def test_hero_cells_are_cells(spark):
 
     found = cells.matching(herostats.hero_cells(rates, 60), "win_rate_.*").collect()
     assert [tuple(r) for r in found] == [(1, "win_rate_60", 5, 0.5)]
-    assert herostats.sliding_column(10800, 8) == "win_rate_average_86400"
+    named = {r.qualifier for r in herostats.sliding_cells(rates, 10800, 8).collect()}
+    assert named == {"win_rate_average_86400", "games_played_average_86400"}

@@ -104,7 +104,7 @@ def test_split_keeps_order_and_bounds(spark):
     assert len(found) == len(rows)
     assert {r.segment for r in found if r.k == 2} == {0}
     ordered = [r.segment for r in sorted((r for r in found if r.k == 1), key=lambda r: r.ts)]
-    assert ordered == sorted(ordered) and max(ordered) == 9
+    assert ordered == sorted(ordered) and max(ordered) == 10 * segments.FINER - 1
     assert cut.large_rows.count() == 500
 
 
@@ -124,6 +124,13 @@ def test_sequence_gaps(spark, sizes):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_empty_timelines(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert timeline.streak_values(empty, 1).count() == 0
+    assert timeline.win_rate_vs_games(empty, 3).count() == 0
+    assert quality.sequence_gaps(spark.createDataFrame([], "file_name string")).count() == 0
+
+
 def test_group_win_rate_skips_missing_values(spark):
     rows = [(1, 1, True, 3.0), (1, 2, False, 3.0), (2, 1, True, None), (2, 2, True, 1.0)]
     found = timeline.group_win_rate(spark.createDataFrame(rows, SCHEMA), "real_match").collect()
