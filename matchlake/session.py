@@ -58,6 +58,10 @@ def fixed_plans(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, adaptive)
 
 
+# Rows a partition of a fixed layout holds at least.
+ROWS_PER_PARTITION = 100_000
+
+
 def checkpoint_by(df: DataFrame, *columns: str) -> DataFrame:
     """Checkpoint laid out by columns; later joins and aggregates on them need no shuffle.
 
@@ -65,7 +69,8 @@ def checkpoint_by(df: DataFrame, *columns: str) -> DataFrame:
     still runs adaptively.
     """
     spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settled = checkpoint(df)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(most, settled.count() // ROWS_PER_PARTITION))
     with fixed_plans(spark):
         return checkpoint(settled.repartition(partitions, *columns))

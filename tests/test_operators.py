@@ -7,6 +7,7 @@ from statistics import mean
 import pytest
 from pyspark.sql import functions as F
 
+from matchlake import session
 from matchlake.operators import (
     classify,
     clusters,
@@ -347,7 +348,9 @@ def test_equal_distances_go_to_the_lowest_cluster(spark):
     assert {r.cluster: r.heroes for r in named} == {0: "a, b", 1: "UNKNOWN"}
 
 
-def test_cluster_iterations_do_not_move_entries(spark):
+@pytest.mark.parametrize("rows", [10, 100])
+def test_cluster_iterations_do_not_move_entries(spark, monkeypatch, rows):
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", rows)
     rows = [(h, r, 0.5) for h in range(8) for r in range(h, 40)]
     shares = spark.createDataFrame(rows, "hero_id int, player_row long, share double")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
