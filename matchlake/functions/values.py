@@ -18,12 +18,6 @@ def signed_account_id(raw: Column) -> Column:
     return F.when(raw > 2147483647, raw - 4294967296).otherwise(raw).cast("int")
 
 
-def unsigned_account_id(stored: Column) -> Column:
-    """Stored signed account id back to the unsigned form of the feed."""
-    wide = stored.cast("long")
-    return F.when(wide < 0, wide + 4294967296).otherwise(wide)
-
-
 def team_slot(player_slot: Column) -> Column:
     """0-4 for the first to last Radiant player, 5-9 for the Dire."""
     dire = F.shiftright(player_slot, 7) == 1

@@ -6,25 +6,27 @@ order column into segments that keep the order. Windows then run per
 (entity, segment), and what a segment needs from earlier ones (a row count, a
 last value) is carried over from a summary of the segments.
 
-Only entities above ``1 / MAX_SHARE`` of all rows are cut. At most MAX_SHARE
-entities can be that large, and all their segments together number at most
-``(FINER + 1) * MAX_SHARE``. These lookups are bounded whatever the data size,
-which is why they may pass through the driver and be broadcast. Where no entity
-is that large, the plan is the plain window.
-
-Segments are even along the order column and FINER times as many as an even
-spread needs, so that a stretch with that many times the usual rows still fits.
+Only entities above ``1 / MAX_SHARE`` of all rows are cut. Segments are even
+along the order column; those that still hold too many rows, where games come in
+bursts, are cut again. At most MAX_SHARE entities or segments can be that large, and
+a round makes at most ``(FINER + 1) * MAX_SHARE`` segments of them. These lookups are
+bounded whatever the data size, which is why they may pass through the driver
+and be broadcast. Where no entity is that large, the plan is the plain window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_SHARE = 10_000
-FINER = 4
+# Segments per share of rows, so that most fit although they are not quite even.
+FINER = 2
+# Rounds of cutting, and the room each leaves for its numbers.
+ROUNDS = 3
+STRIDE = 1 << 20
 MIN_ROWS = 1_000_000
 SEGMENT = "segment"
 
@@ -54,18 +56,13 @@ class Segmented:
 
 def _large_keys(
     df: DataFrame, keys: tuple[str, ...], order: str, min_rows: int, max_share: int
-) -> DataFrame | None:
-    """Keys with more than ``max(min_rows, all rows / max_share)`` rows, and their parts.
+) -> tuple[list[Row], int]:
+    """Keys with more than ``max(min_rows, all rows / max_share)`` rows, and that limit.
 
     One narrow pass, combined before the shuffle: the grand total comes from the
     same aggregate and, being the largest count, first.
     """
-    sizes = df.rollup(*keys).agg(
-        F.grouping_id().alias("level"),
-        F.count("*").alias("n"),
-        F.min(order).alias("low"),
-        F.max(order).alias("high"),
-    )
+    sizes = df.rollup(*keys).agg(F.grouping_id().alias("level"), *_size(order))
     whole = (1 << len(keys)) - 1
     candidates = sizes.where(
         (F.col("level") == whole) | ((F.col("level") == 0) & (F.col("n") > min_rows))
@@ -73,18 +70,24 @@ def _large_keys(
     # Any key beyond these holds less than its share.
     found = candidates.limit(max_share + 1).collect()
     if not found:
-        return None
-    total, *largest_first = found
-    limit = max(min_rows, total["n"] // max_share)
-    large = [
-        (*(row[k] for k in keys), row["low"], row["high"], -(-FINER * row["n"] // limit))
-        for row in largest_first
-        if row["n"] > limit
-    ]
-    if not large:
-        return None
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.sparkSession.createDataFrame(large, f"{types}, low long, high long, parts long")
+        return [], min_rows
+    limit = max(min_rows, found[0]["n"] // max_share)
+    return [row for row in found[1:] if row["n"] > limit], limit
+
+
+def _size(order: str) -> list[Column]:
+    return [F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")]
+
+
+def _cut(rows: DataFrame, ranges: DataFrame, keys: tuple[str, ...], order: str, how: str) -> DataFrame:
+    """Next round of segment numbers: even parts of the given ranges, others whole."""
+    share = (F.col(order) - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
+    return (
+        rows.join(F.broadcast(ranges), [*keys, SEGMENT], how)
+        .withColumn(SEGMENT, F.col(SEGMENT) * STRIDE + F.coalesce(part, F.lit(0).cast("long")))
+        .drop("low", "high", "parts")
+    )
 
 
 def split(
@@ -98,20 +101,31 @@ def split(
 
     Equal values of ``order`` stay in one segment.
     """
-    large = _large_keys(df, keys, order, min_rows, max_share)
-    if large is None:
-        whole = df.withColumn(SEGMENT, F.lit(0).cast("long"))
-        return Segmented(whole, whole.where(F.lit(False)), keys, order)
-    share = (F.col(order) - F.col("low")) / (F.col("high") - F.col("low") + 1)
-    number = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
-    helper = ("low", "high", "parts")
-    rows = df.join(F.broadcast(large), list(keys), "left")
-    return Segmented(
-        rows.withColumn(SEGMENT, F.coalesce(number, F.lit(0).cast("long"))).drop(*helper),
-        df.join(F.broadcast(large), list(keys)).withColumn(SEGMENT, number).drop(*helper),
-        keys,
-        order,
-    )
+    spark = df.sparkSession
+    rows = df.withColumn(SEGMENT, F.lit(0).cast("long"))
+    large, limit = _large_keys(df, keys, order, min_rows, max_share)
+    if not large:
+        return Segmented(rows, rows.where(F.lit(False)), keys, order)
+
+    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = spark.createDataFrame([tuple(row[k] for k in keys) for row in large], types)
+    dense = [row.asDict() | {SEGMENT: 0} for row in large]
+    for _ in range(ROUNDS):
+        ranges = spark.createDataFrame(
+            [
+                (*(d[k] for k in keys), d[SEGMENT], d["low"], d["high"], -(-FINER * d["n"] // limit))
+                for d in dense
+            ],
+            f"{types}, {SEGMENT} long, low long, high long, parts long",
+        )
+        counted = _cut(rows, ranges, keys, order, "inner").groupBy(*keys, SEGMENT).agg(*_size(order))
+        rows = _cut(rows, ranges, keys, order, "left")
+        # As many as there are shares at most; a single value cannot be cut.
+        crowded = counted.where((F.col("n") > limit) & (F.col("high") > F.col("low")))
+        dense = [row.asDict() for row in crowded.collect()]
+        if not dense:
+            break
+    return Segmented(rows, rows.join(F.broadcast(names), list(keys)), keys, order)
 
 
 def before(window: WindowSpec) -> WindowSpec:

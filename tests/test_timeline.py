@@ -1,7 +1,7 @@
 """Order-sensitive operators against brute force, with and without cut entities."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from statistics import mean, pstdev
 
 import pytest
@@ -98,14 +98,20 @@ def test_windows_have_no_gap_at_cuts(spark, window, sizes):
 
 def test_split_keeps_order_and_bounds(spark):
     rows = [(1, t * t) for t in range(500)] + [(2, t) for t in range(20)]
+    # Bursts inside bursts, and many games at one moment.
+    rows += [(3, 10**12)] + [(3, 10**6 + t) for t in range(300)] + [(3, 10**9 + 1000 * t) for t in range(300)]
+    rows += [(4, t) for t in range(5)] + [(4, 10**6)] * 70
     frame = spark.createDataFrame(rows, "k long, ts long")
     cut = segments.split(frame, ("k",), "ts", min_rows=50, max_share=1000)
     found = cut.rows.collect()
-    assert len(found) == len(rows)
-    assert {r.segment for r in found if r.k == 2} == {0}
-    ordered = [r.segment for r in sorted((r for r in found if r.k == 1), key=lambda r: r.ts)]
-    assert ordered == sorted(ordered) and max(ordered) == 10 * segments.FINER - 1
-    assert cut.large_rows.count() == 500
+    assert sorted((r.k, r.ts) for r in found) == sorted(rows)
+    for key in (1, 2, 3, 4):
+        ordered = [r.segment for r in sorted((r for r in found if r.k == key), key=lambda r: r.ts)]
+        assert ordered == sorted(ordered)
+    sizes = Counter((r.k, r.segment) for r in found)
+    assert max(n for (k, _), n in sizes.items() if k != 4) <= 50
+    assert len([k for k, _ in sizes if k == 2]) == 1
+    assert cut.large_rows.count() == 500 + 601 + 75
 
 
 def test_no_cut_leaves_no_join(spark):
