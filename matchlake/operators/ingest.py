@@ -44,13 +44,15 @@ def _items(record: Column) -> Column:
 
 def _first_unit(text: Column) -> Column:
     """Additional unit from JSON text that is an object or a list of objects."""
-    options = {"mode": "FAILFAST"}
-    listed = F.from_json(text, T.ArrayType(schemas.RAW_UNIT), options)[0]
-    single = F.from_json(text, schemas.RAW_UNIT, options)
-    unit = F.when(F.substring(F.ltrim(text), 1, 1) == "[", listed).otherwise(single)
-    return F.when(
-        text.isNotNull(), F.struct(unit["unitname"].alias("name"), _items(unit).alias("item_ids"))
+    is_list = F.substring(F.ltrim(text), 1, 1) == "["
+    as_list = F.when(is_list, text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    units = F.from_json(as_list, T.ArrayType(schemas.RAW_UNIT), {"mode": "FAILFAST"})
+    # Inside a lambda the parsed unit is one value, however often its fields are read.
+    first = F.transform(
+        F.slice(units, 1, 1),
+        lambda u: F.struct(u["unitname"].alias("name"), _items(u).alias("item_ids")),
     )
+    return F.get(first, F.lit(0))
 
 
 def _player(raw: Column) -> Column:
