@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup
+from . import decontaminate, mixing, neardup, pii, rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each document."""
+    return rules.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in each document."""
+    return pii.personal_data(_table(spark, folder, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document over 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(_table(spark, folder, "documents"), shingle=4, percent=80)
@@ -24,10 +34,18 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.summary(found)
 
 
+def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of each document under raked token weights, and whether it is kept."""
+    return mixing.mixture(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_personal_data": op2_personal_data,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
+    "op10_mixture": op10_mixture,
 }
 
 #: SQL that gives the same rows; queries without one are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixture": mixing.sql()}
