@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, rules
+from . import decontaminate, licences, mixing, neardup, pii, rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences named or quoted in each document."""
+    return licences.licences(_table(spark, folder, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document over 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(_table(spark, folder, "documents"), shingle=4, percent=80)
@@ -42,6 +47,7 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
+    "op3_licences": op3_licences,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
