@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, neardup, pii, rules
+from . import decontaminate, licences, mixing, neardup, pii, rules, suffix_tree
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(_table(spark, folder, "documents"))
 
 
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of each document by token counts and by the suffix tree."""
+    return suffix_tree.score(_table(spark, folder, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document over 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(_table(spark, folder, "documents"), shingle=4, percent=80)
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
     "op3_licences": op3_licences,
+    "op5_language_model": op5_language_model,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
