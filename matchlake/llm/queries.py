@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, neardup, pii, rules, suffix_tree
+from . import decontaminate, licences, mixing, neardup, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(_table(spark, folder, "documents"))
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best candidates of every 50th vector by whole-number inner product."""
+    return topk.nearest(_table(spark, folder, "embeddings"))
+
+
 def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probability of each document by token counts and by the suffix tree."""
     return suffix_tree.score(_table(spark, folder, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
     "op3_licences": op3_licences,
+    "op4_nearest": op4_nearest,
     "op5_language_model": op5_language_model,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
@@ -60,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL that gives the same rows; queries without one are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op10_mixture": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {"op4_nearest": topk.SQL, "op10_mixture": mixing.sql()}
