@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, mixing, neardup, pii, rules, suffix_tree, topk
+from . import archives, decontaminate, licences, mixing, neardup, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(_table(spark, folder, "documents"))
 
 
+def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the pages' archives after conversion."""
+    return archives.archived(_table(spark, folder, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of each document over 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(_table(spark, folder, "documents"), shingle=4, percent=80)
@@ -60,10 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licences": op3_licences,
     "op4_nearest": op4_nearest,
     "op5_language_model": op5_language_model,
+    "op7_archives": op7_archives,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
 }
 
 #: SQL that gives the same rows; queries without one are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_nearest": topk.SQL, "op10_mixture": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {"op4_nearest": topk.SQL, "op7_archives": archives.SQL, "op10_mixture": mixing.sql()}
