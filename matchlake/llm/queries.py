@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, licences, mixing, neardup, pii, rules, suffix_tree, topk
+from . import archives, decontaminate, html_blocks, licences, mixing, neardup, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score(_table(spark, folder, "documents"))
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of each page."""
+    return html_blocks.extracted(_table(spark, folder, "pages"))
+
+
 def op7_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the pages' archives after conversion."""
     return archives.archived(_table(spark, folder, "pages"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licences": op3_licences,
     "op4_nearest": op4_nearest,
     "op5_language_model": op5_language_model,
+    "op6_main_text": op6_main_text,
     "op7_archives": op7_archives,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
