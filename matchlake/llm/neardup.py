@@ -106,8 +106,8 @@ def _sets(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "set_key binary, shingles array<bigint>")
 
 
-def _table_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, size) of the classes that share a signature with another on both sides."""
+def _sides(classes: DataFrame) -> DataFrame:
+    """Classes that share a signature with another on both sides, with those signatures."""
     sides = []
     for side in (0, 1):
         entries = classes.select(
@@ -115,12 +115,13 @@ def _table_keys(classes: DataFrame) -> DataFrame:
         )
         shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
         sides.append(entries.join(shared, "value").groupBy("id").agg(F.collect_list("value").alias(f"side{side}")))
-    pairs = sides[0].join(sides[1], "id").join(classes.select("id", "n_shingles"), "id")
-    return (
-        pairs.withColumn("left_value", F.explode("side0"))
-        .withColumn("right_value", F.explode("side1"))
-        .select(F.xxhash64("left_value", "right_value").alias("key"), "id", F.col("n_shingles").alias("size"))
-    )
+    return sides[0].join(sides[1], "id").join(classes.select("id", F.col("n_shingles").alias("size")), "id")
+
+
+def _table_keys(sides: DataFrame) -> DataFrame:
+    """(key, id, size) for each pair of a signature of one side with one of the other."""
+    pairs = sides.withColumn("x", F.explode("side0")).withColumn("y", F.explode("side1"))
+    return pairs.select(F.xxhash64("x", "y").alias("key"), "id", "size")
 
 
 def _live(keys: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,17 +173,20 @@ def _profiles(compared: DataFrame) -> DataFrame:
     return whole.select("id", "hub", "inside", "hub_size", F.size("novel").alias("n_novel"), few("novel"), few("removed"))
 
 
-def _all_of_smallest(live: DataFrame, profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _all_of_smallest(live: DataFrame, sides: DataFrame, profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of each bucket's first members with all others, and those members by bucket.
 
-    First come the members of the bucket's smallest components.
+    First come the members of the bucket's smallest components. A pair that meets in
+    several buckets is given in one: that of the smallest signatures it shares.
     """
+    profiles = sides.select("id", "side0", "side1").join(profiles, "id", "left")
     counts = live.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("peers"))
     placed = live.join(counts, ["key", "comp"])
     order = Window.partitionBy("key").orderBy("peers", "comp", "id")
     hubs = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS).select("key", "id", "comp", "size")
-    first = hubs.join(profiles, "id", "left").alias("x")
-    rest = live.join(profiles, "id", "left").alias("y")
+    first, rest = hubs.join(profiles, "id").alias("x"), live.join(profiles, "id").alias("y")
+    shared = [F.array_min(F.array_intersect(f"x.side{k}", f"y.side{k}")) for k in (0, 1)]
+    here = F.xxhash64(*shared) == F.col("x.key")
     enough = lambda overlap: overlap * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
     least = F.least("x.inside", "y.inside")
     kept = F.col("x.inside") + F.col("y.inside") - F.col("x.hub_size") + F.size(F.array_intersect("x.removed", "y.removed"))
@@ -193,7 +197,7 @@ def _all_of_smallest(live: DataFrame, profiles: DataFrame, percent: int) -> tupl
     inside = F.when(F.col("x.removed").isNull() | F.col("y.removed").isNull(), least).otherwise(kept)
     may = may.otherwise(enough(inside + both_novel))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = rest.join(first, same & _fits("x.size", "y.size", percent) & may)
+    pairs = rest.join(first, same & _fits("x.size", "y.size", percent) & may & here)
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return pairs, hubs.select("key", "id")
 
@@ -273,8 +277,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = scratch.write(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
-    keys = scratch.write(_table_keys(classes), "keys")
-    met = classes.join(keys.select("id").distinct(), "id", "left_semi").select("id", "set_key", "doc_id")
+    sides = scratch.write(_sides(classes), "sides")
+    keys = scratch.write(_table_keys(sides), "keys")
+    met = classes.join(sides.select("id"), "id", "left_semi").select("id", "set_key", "doc_id")
     met = scratch.write(met, "met")
     sets = _class_sets(scratch, docs, met, shingle)
 
@@ -295,7 +300,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         elif number == 1:
             pairs = _proposals(live, [-F.col("popularity"), F.col("id"), F.xxhash64("id")], percent)
         else:
-            pairs, retired = _all_of_smallest(live, profiles, percent)
+            pairs, retired = _all_of_smallest(live, sides, profiles, percent)
             retired = scratch.write(retired, f"retired-{number}")
         compared = scratch.write(_compared(scratch.write(pairs, f"pairs-{number}"), sets, number == 0), f"compared-{number}")
         if number == 0:
