@@ -144,7 +144,7 @@ def _lasso(features: np.ndarray, labels: np.ndarray, penalty: float) -> tuple[fl
 
 
 def fit(table: dict[str, np.ndarray], labels: np.ndarray) -> RuleModel:
-    """Rules for labels 0 and 1; with one class only, a constant near its share."""
+    """Rules for labels 0 and 1; with one class, or too few rows for any rule, a constant."""
     positive, rows = float(labels.sum()), len(labels)
     prior = np.log((positive + 1) / (rows - positive + 1))
     if positive in (0, rows):
@@ -161,6 +161,8 @@ def fit(table: dict[str, np.ndarray], labels: np.ndarray) -> RuleModel:
         rules |= dict.fromkeys(sorted(found, key=lambda r: sorted((b.name, b.value, b.above) for b in r)))
         margin = margin + RATE * np.clip(step, -8, 8)
     names = list(rules)
+    if not names:
+        return RuleModel(float(prior), {})
     features = np.stack([np.logical_and.reduce([b.holds(table) for b in rule]) for rule in names], axis=1)
     bias, weights = _lasso(features.astype(float), labels, PENALTY)
     return RuleModel(bias, {r: float(w) for r, w in zip(names, weights, strict=True) if w})
