@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import pearson, pearson_of
+from ..functions.statistics import padded_product, padded_spread, pearson, pearson_of
 from ..sources.dimensions import lookup
 
 
@@ -37,8 +37,10 @@ def shared_correlations(triples: DataFrame, size_filter: int | None = None) -> D
 
 
 def _vector_sums(triples: DataFrame) -> DataFrame:
+    """Present values of each vector: their number, mean, and sum of squares around it."""
+    present = F.count("val").cast("double")
     return triples.groupBy("vec").agg(
-        F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares")
+        present.alias("present"), F.avg("val").alias("mean"), (F.var_pop("val") * present).alias("spread")
     )
 
 
@@ -50,14 +52,25 @@ def _products(triples: DataFrame) -> DataFrame:
     )
 
 
-def _side(sums: DataFrame, number: int) -> DataFrame:
-    return sums.select(
-        F.col("vec").alias(f"vec{number}"),
-        F.col("total").alias(f"total{number}"),
-        F.col("squares").alias(f"squares{number}"),
+def _shared_sums(triples: DataFrame) -> DataFrame:
+    """Shared values of each pair: their number, means, and sum of products around them."""
+    shared = F.count("*").cast("double")
+    return (
+        _pairs(triples)
+        .groupBy(F.col("upper").alias("vec1"), F.col("lower").alias("vec2"))
+        .agg(
+            shared.alias("shared"),
+            F.avg("y").alias("shared1"),
+            F.avg("x").alias("shared2"),
+            (F.covar_pop("x", "y") * shared).alias("covariance"),
+        )
     )
 
 
+def _side(sums: DataFrame, number: int) -> DataFrame:
+    return sums.select(*[F.col(c).alias(f"{c}{number}") for c in ("vec", "present", "mean", "spread")])
+
+
 def _length(vector_length: int | Column) -> Column:
     length = vector_length if isinstance(vector_length, Column) else F.lit(vector_length)
     return length.cast("double")
@@ -67,15 +80,13 @@ def _correlate(pairs: DataFrame, vector_length: int | Column) -> DataFrame:
     def known(name: str) -> Column:
         return F.coalesce(name, F.lit(0.0))
 
-    r = pearson(
-        _length(vector_length),
-        known("product"),
-        known("total1"),
-        known("total2"),
-        known("squares1"),
-        known("squares2"),
+    n = _length(vector_length)
+    spreads = [padded_spread(n, known(f"present{k}"), known(f"mean{k}"), known(f"spread{k}")) for k in (1, 2)]
+    product = padded_product(
+        n, known("shared"), known("covariance"), known("shared1"), known("shared2"),
+        known("present1"), known("present2"), known("mean1"), known("mean2"),
     )
-    return pairs.select("vec1", "vec2", r.alias("cor"))
+    return pairs.select("vec1", "vec2", pearson(product, *spreads).alias("cor"))
 
 
 def range_correlations(
@@ -94,8 +105,8 @@ def range_correlations(
     pairs = (
         grid.join(_side(sums, 1), "vec1", "left")
         .join(_side(sums, 2), "vec2", "left")
-        .where(F.col("total1").isNotNull() | F.col("total2").isNotNull())
-        .join(_products(wanted), ["vec1", "vec2"], "left")
+        .where(F.col("present1").isNotNull() | F.col("present2").isNotNull())
+        .join(_shared_sums(wanted), ["vec1", "vec2"], "left")
     )
     return _correlate(pairs, vector_length)
 
@@ -103,13 +114,14 @@ def range_correlations(
 def present_correlations(triples: DataFrame, vector_length: int | Column) -> DataFrame:
     """As :func:`range_correlations`, over the vectors that are present."""
     sums = _vector_sums(triples)
-    lowest = sums.agg(F.min("vec")).scalar()
+    # The catalogue bounds the list of present vectors, whatever the range of their ids.
+    present = sums.agg(F.collect_list("vec")).scalar()
     pairs = (
         _side(sums, 1)
-        .where(F.col("vec1") > lowest)
-        .withColumn("vec2", F.explode(F.sequence(lowest, F.col("vec1") - 1)))
+        .withColumn("vec2", F.explode(present))
+        .where(F.col("vec1") > F.col("vec2"))
         .join(_side(sums, 2), "vec2")
-        .join(_products(triples), ["vec1", "vec2"], "left")
+        .join(_shared_sums(triples), ["vec1", "vec2"], "left")
     )
     return _correlate(pairs, vector_length)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +141,16 @@ def weekly_histogram(counts: DataFrame) -> DataFrame:
 
 def weekly_histogram_wide(weekly: DataFrame, field: str) -> DataFrame:
     """One field's weekly counts: a row per value, a column per bin date."""
-    one = weekly.where(F.col("field") == field).withColumn("date", date_label(F.col("bin_ms")))
-    # The columns of the result: one per week of the covered time.
-    weeks = one.select("bin_ms", "date").distinct().orderBy("bin_ms").collect()
-    return one.groupBy("value").pivot("date", [w["date"] for w in weeks]).agg(F.sum("count"))
+    one = weekly.where(F.col("field") == field)
+    # The columns of the result: one per week between the first and the last.
+    first, last = one.agg(F.min("bin_ms"), F.max("bin_ms")).first()
+    starts = [] if first is None else range(first, last + 1, WEEK_SECONDS * 1000)
+    dates = [datetime.fromtimestamp(s / 1000, UTC).strftime("%m-%d-%Y") for s in starts]
+    dated = one.withColumn("date", date_label(F.col("bin_ms")))
+    return dated.groupBy("value").pivot("date", dates).agg(F.sum("count"))
+
+
+def unpivot_weeks(wide: DataFrame) -> DataFrame:
+    """The wide form as (value, date, count)."""
+    dates = [c for c in wide.columns if c != "value"]
+    return wide.unpivot("value", dates, "date", "count")

@@ -11,30 +11,47 @@ from ..functions import values
 from ..functions.slots import millis
 
 _CORRUPT = "_corrupt_record"
+_WHOLE = "_one_record"
+_ANY_RECORD = T.ArrayType(T.StructType([T.StructField("match_id", T.LongType())]))
+
+
+def _one_record(value: Column) -> Column:
+    """The line is one record and nothing else.
+
+    A parser that reads a record leaves what follows it unread, and a blank line
+    is an empty record to it. Between brackets both are something else than a list of one.
+    """
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), _ANY_RECORD)
+    return F.coalesce((F.size(listed) == 1) & F.get(listed, F.lit(0)).isNotNull(), F.lit(False))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType = schemas.RAW_MATCH) -> DataFrame:
     """Typed records; a malformed line fails the job."""
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    sound = F.assert_true(_one_record(F.col("value")), F.lit("MALFORMED_LINE: not one record"))
+    return lines.where(sound.isNull()).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def _tolerant(lines: DataFrame, schema: T.StructType) -> DataFrame:
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return lines.select(F.from_json("value", with_corrupt, options).alias("r")).select("r.*")
+    record, whole = F.from_json("value", with_corrupt, options), _one_record(F.col("value"))
+    return lines.select(record.alias("r"), whole.alias(_WHOLE)).select("r.*", _WHOLE)
+
+
+def _good() -> Column:
+    return F.col(_CORRUPT).isNull() & F.col(_WHOLE)
 
 
 def parse_good_lines(lines: DataFrame, schema: T.StructType = schemas.RAW_MATCH) -> DataFrame:
     """Typed records of the well-formed lines; malformed ones are left out."""
-    return _tolerant(lines, schema).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return _tolerant(lines, schema).where(_good()).drop(_CORRUPT, _WHOLE)
 
 
 def count_malformed(lines: DataFrame, schema: T.StructType = schemas.RAW_MATCH) -> DataFrame:
     """One row: how many lines are well-formed and how many are not."""
-    corrupt = F.col(_CORRUPT)
     return _tolerant(lines, schema).agg(
-        F.count_if(corrupt.isNull()).alias("good_lines"),
-        F.count_if(corrupt.isNotNull()).alias("malformed_lines"),
+        F.count_if(_good()).alias("good_lines"),
+        F.count_if(~_good()).alias("malformed_lines"),
     )
 
 

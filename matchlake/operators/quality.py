@@ -137,9 +137,13 @@ def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def compare_match_ids(records: DataFrame, matches: DataFrame) -> DataFrame:
-    """Match ids that only one of two sources has; repeated ids stay repeated."""
+    """Match ids that only one of two sources has; repeated ids stay repeated.
+
+    A null id equals no other, so every null of either side gives a row of two nulls.
+    """
     left, right = F.col("left"), F.col("right")
-    one_sided = _sides(records, matches, "match_id").where((left == 0) | (right == 0))
+    unmatched = (left == 0) | (right == 0) | F.col("match_id").isNull()
+    one_sided = _sides(records, matches, "match_id").where(unmatched)
     ids = one_sided.select(
         F.when(right == 0, F.col("match_id")).alias("record_match_id"),
         F.when(left == 0, F.col("match_id")).alias("table_match_id"),

@@ -397,11 +397,11 @@ GROUP BY p.account_id, start_ms, p.match_id, p.pos, game_mode, lobby_type, seaso
   p.hero_id, p.player_slot, p.gold""",
     "tolerant_ingest": """
 SELECT mt.match_id, game_mode, CAST(count(*) AS INTEGER) AS players
-FROM mt JOIN mp USING (match_id) WHERE mt.match_id % 50 <> 49 GROUP BY mt.match_id, game_mode""",
+FROM mt JOIN mp USING (match_id) WHERE mt.match_id % 50 < 46 GROUP BY mt.match_id, game_mode""",
     "malformed_lines": """
-SELECT count(*) FILTER (match_id % 50 <> 49) AS good_lines, count(*) FILTER (match_id % 50 = 49) AS malformed_lines
+SELECT count(*) FILTER (match_id % 50 < 46) AS good_lines, count(*) FILTER (match_id % 50 >= 46) AS malformed_lines
 FROM mt""",
-    "hero_names": "SELECT DISTINCT hero_id, 'hero_' || hero_id AS name FROM mp WHERE hero_id <> 20",
+    "hero_names": "SELECT DISTINCT hero_id, 'hero_' || hero_id AS name FROM mp",
     # classification and derived values
     "real_match": "SELECT match_id, CAST(0 AS BIGINT) AS ts, real_match FROM rm",
     "real_match_counters": """
@@ -580,7 +580,7 @@ one AS (
   SELECT value, strftime(make_timestamp(bin_ms * 1000), '%m-%d-%Y') AS date, "count"
   FROM weekly WHERE field = 'game_mode'
 )
-PIVOT one ON date USING CAST(sum("count") AS BIGINT) GROUP BY value""",
+SELECT value, date, CAST(sum("count") AS BIGINT) AS "count" FROM one GROUP BY value, date""",
     # integrity checks
     "validate_matches": f"""
 , player_faults AS (
@@ -598,9 +598,11 @@ SELECT message, count(*) AS matches FROM faults WHERE message IS NOT NULL GROUP
 , stored AS (
   SELECT match_id FROM mt WHERE match_id % 40 <> 0
   UNION ALL SELECT match_id + 1000000 FROM mt WHERE match_id % 60 = 0
-)
+  UNION ALL SELECT NULL FROM mt WHERE match_id % 70 = 0
+),
+known AS (SELECT CASE WHEN match_id % 90 <> 1 THEN match_id END AS match_id FROM mt)
 SELECT a.match_id AS record_match_id, b.match_id AS table_match_id
-FROM mt a FULL OUTER JOIN stored b ON a.match_id = b.match_id
+FROM known a FULL OUTER JOIN stored b ON a.match_id = b.match_id
 WHERE a.match_id IS NULL OR b.match_id IS NULL""",
     "compare_player_counts": """
 , known AS (SELECT account_id, event_id FROM mp WHERE account_id IS NOT NULL AND account_id <> -1),
@@ -614,7 +616,7 @@ FROM a FULL OUTER JOIN b ON a.account_id = b.account_id WHERE a.n IS DISTINCT FR
     "count_cells": "SELECT count(real_match) AS cells FROM tl",
     "matches_for_player": "SELECT DISTINCT match_id FROM mp WHERE account_id = 1",
     "max_account_id": """
-SELECT CAST(max(account_id) AS BIGINT) AS max_account_id FROM mp WHERE account_id <> -1""",
+SELECT CAST(max(account_id) AS BIGINT) AS max_account_id FROM mp WHERE account_id <> -1 AND match_id % 50 < 46""",
     "example_values": """
 , firsts AS (
   SELECT coalesce(CAST(leaver_status AS VARCHAR), 'null') AS value, match_id, min(pos) AS pos
@@ -629,8 +631,8 @@ SELECT value, count(*) AS examples,
 FROM ranked GROUP BY value""",
     "sequence_gaps": """
 , files AS (
-  SELECT f * 30 AS a, (f + 1) * 30 + CASE WHEN f % 9 = 4 THEN 5 ELSE 0 END AS b
-  FROM (SELECT DISTINCT match_id // 10 AS f FROM mt) WHERE f % 11 <> 6
+  SELECT f * 30 AS a, (f + 1) * 30 + CASE WHEN f % 9 = 4 THEN 5 WHEN f % 11 = 6 THEN -7 ELSE 0 END AS b
+  FROM (SELECT DISTINCT match_id // 10 AS f FROM mt)
 ),
 pairs AS (SELECT lag(b) OVER (ORDER BY a, b) AS previous_end, a AS next_start FROM files)
 SELECT previous_end, next_start FROM pairs WHERE previous_end <> next_start""",

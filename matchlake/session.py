@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,7 +31,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through reliable storage.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    local master with none set gets a temporary folder; a cluster must name one.
+    local master with none set uses its warehouse; a cluster must name one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -41,7 +40,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="matchlake-checkpoint-")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -204,21 +204,24 @@ def raw_match_lines(matches: DataFrame) -> DataFrame:
 
 
 def corrupt_some(lines: DataFrame) -> DataFrame:
-    """Lines with every fiftieth match cut to half its length."""
+    """Lines of which some are cut to half, hold more text, hold two records, or are blank."""
     match_id = F.regexp_extract("value", r'"match_id":(\d+)', 1).cast("long")
     half = F.substring(F.col("value"), F.lit(1), F.expr("length(value) div 2"))
-    return lines.select(F.when(match_id % 50 == 49, half).otherwise(F.col("value")).alias("value"))
+    value, kind = F.col("value"), match_id % 50
+    damaged = F.when(kind == 49, half).when(kind == 48, F.concat(value, F.lit(" and more")))
+    damaged = damaged.when(kind == 47, F.concat(value, value)).when(kind == 46, F.lit("  "))
+    return lines.select(damaged.otherwise(value).alias("value"))
 
 
 def hero_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hero list as one JSON document; hero 20 is left out on purpose."""
+    """Hero list as one JSON document."""
     heroes = match_players(spark, sf_dir, ("hero_id",)).select("hero_id").distinct()
     entry = F.struct(
         F.concat(F.lit("hero_"), "hero_id").alias("localized_name"),
         F.concat(F.lit("npc_hero_"), "hero_id").alias("name"),
         F.col("hero_id").alias("id"),
     )
-    listed = heroes.where("hero_id <> 20").agg(F.sort_array(F.collect_list(entry)).alias("heroes"))
+    listed = heroes.agg(F.sort_array(F.collect_list(entry)).alias("heroes"))
     return listed.select(F.to_json(F.struct(F.size("heroes").alias("count"), "heroes")).alias("value"))
 
 
@@ -238,8 +241,9 @@ def item_dimension(spark: SparkSession) -> DataFrame:
 def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of raw files by match-sequence range, with planted gaps and overlaps."""
     number = F.expr("event_id div 100")
-    files = table(spark, sf_dir, "events").select(number.alias("f")).distinct().where("f % 11 <> 6")
-    end = (F.col("f") + 1) * 30 + F.when(F.col("f") % 9 == 4, 5).otherwise(0)
+    files = table(spark, sf_dir, "events").select(number.alias("f")).distinct()
+    shift = F.when(F.col("f") % 9 == 4, 5).when(F.col("f") % 11 == 6, -7).otherwise(0)
+    end = (F.col("f") + 1) * 30 + shift
     return files.select(
         F.concat(F.lit("matches_"), F.col("f") * 30, F.lit("-"), end, F.lit(".gz")).alias("file_name")
     )

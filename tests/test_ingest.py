@@ -72,10 +72,13 @@ def test_other_players_keep_their_order(spark):
 
 
 def test_malformed_lines(spark):
-    lines = as_lines(spark, raw_match(1, []), '{"match_id": 2, "pla', "", raw_match(3, [raw_player(0)]))
-    assert sorted(r.match_id for r in ingest.parse_good_lines(lines).collect() if r.match_id) == [1, 3]
-    with pytest.raises(Exception, match="MALFORMED"):
-        ingest.ingest_matches(as_lines(spark, '{"match_id": 2, "pla')).collect()
+    bad = ['{"match_id": 2, "pla', "", "   ", "null", "[]", '{"match_id":4}xyz', '{"match_id":5}{"match_id":6}', '{"match_id":7},{"match_id":8}']
+    lines = as_lines(spark, raw_match(1, []), *bad, raw_match(3, [raw_player(0)]))
+    assert sorted(r.match_id for r in ingest.parse_good_lines(lines).collect()) == [1, 3]
+    assert tuple(ingest.count_malformed(lines).first()) == (2, len(bad))
+    for line in bad:
+        with pytest.raises(Exception, match="MALFORMED"):
+            ingest.ingest_matches(as_lines(spark, line)).collect()
 
 
 def test_gzip_csv_and_text_files(spark, tmp_path):

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from statistics import mean
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,32 @@ def test_compare_match_ids_keeps_repeats(spark):
     assert found == {(1, None): 3, (None, 3): 2}
 
 
+def test_correlations_of_large_values(spark):
+    """Small differences of large values count; vectors that do not vary have no correlation."""
+    steps = [0.0, 0.3, -0.3, 0.6]
+    rows = [(i, 1, 1e6 + steps[i % 4], 1) for i in range(200)] + [(i, 5, 1e6 - steps[i % 4] / 2, 1) for i in range(200)]
+    rows += [(i, 900_000, 7.0, 1) for i in range(200)] + [(i, 9, 2.0, 1) for i in range(50)]
+    triples = spark.createDataFrame(rows, "index int, vec int, val double, size int")
+    found = {(r.vec1, r.vec2): r.cor for r in correlation.present_correlations(triples, 200).collect()}
+    assert len(found) == 6
+    assert found[5, 1] == pytest.approx(-1.0, abs=1e-6)
+    assert found[900_000, 1] is None and found[900_000, 9] is None
+    dense = {v: np.zeros(200) for v in (1, 5, 9)}
+    for i, v, x, _ in rows:
+        if v in dense:
+            dense[v][i] = x
+    assert found[9, 1] == pytest.approx(np.corrcoef(dense[9], dense[1])[0, 1], abs=1e-6)
+    ranged = {(r.vec1, r.vec2): r.cor for r in correlation.range_correlations(triples, 200, 1, 9).collect()}
+    assert ranged[5, 1] == found[5, 1] and ranged[2, 1] is None
+
+
+def test_compare_match_ids_with_nulls(spark):
+    left = spark.createDataFrame([(1,), (None,), (None,), (2,)], "match_id long")
+    right = spark.createDataFrame([(1,), (None,), (3,)], "match_id long")
+    found = Counter(map(tuple, quality.compare_match_ids(left, right).collect()))
+    assert found == {(None, None): 3, (2, None): 1, (None, 3): 1}
+
+
 def test_repeat_beyond_one_array(spark, monkeypatch):
     monkeypatch.setattr(quality, "_COPIES", 4)
     left = spark.createDataFrame([(1,)] * 11 + [(2,)] * 4, "match_id long")
