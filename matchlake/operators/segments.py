@@ -7,9 +7,10 @@ order column into segments that keep the order. Windows then run per
 last value) is carried over from a summary of the segments.
 
 Only entities above ``1 / MAX_SHARE`` of all rows are cut. Segments are even
-along the order column; those that still hold too many rows, where games come in
-bursts, are cut again. At most MAX_SHARE entities or segments can be that large, and
-a round makes at most ``(FINER + 1) * MAX_SHARE`` segments of them. These lookups are
+along the order column and numbered by their lowest value; those that still hold too
+many rows, where games come in bursts, are cut again until they fit or hold a single
+value. At most MAX_SHARE entities or segments can be that large, and a round makes at
+most ``(FINER + 1) * MAX_SHARE`` segments of them. These lookups are
 bounded whatever the data size, which is why they may pass through the driver
 and be broadcast. Where no entity is that large, the plan is the plain window.
 """
@@ -24,9 +25,6 @@ from pyspark.sql import functions as F
 MAX_SHARE = 10_000
 # Segments per share of rows, so that most fit although they are not quite even.
 FINER = 2
-# Rounds of cutting, and the room each leaves for its numbers.
-ROUNDS = 3
-STRIDE = 1 << 20
 MIN_ROWS = 1_000_000
 SEGMENT = "segment"
 
@@ -81,12 +79,11 @@ def _size(order: str) -> list[Column]:
 
 def _cut(rows: DataFrame, ranges: DataFrame, keys: tuple[str, ...], order: str, how: str) -> DataFrame:
     """Next round of segment numbers: even parts of the given ranges, others whole."""
-    share = (F.col(order) - F.col("low")) / (F.col("high") - F.col("low") + 1)
-    part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
+    lowest = F.expr(f"low + ({order} - low) div width * width")
     return (
         rows.join(F.broadcast(ranges), [*keys, SEGMENT], how)
-        .withColumn(SEGMENT, F.col(SEGMENT) * STRIDE + F.coalesce(part, F.lit(0).cast("long")))
-        .drop("low", "high", "parts")
+        .withColumn(SEGMENT, F.coalesce(lowest, SEGMENT))
+        .drop("low", "width")
     )
 
 
@@ -110,21 +107,19 @@ def split(
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     names = spark.createDataFrame([tuple(row[k] for k in keys) for row in large], types)
     dense = [row.asDict() | {SEGMENT: 0} for row in large]
-    for _ in range(ROUNDS):
+    while dense:
         ranges = spark.createDataFrame(
             [
-                (*(d[k] for k in keys), d[SEGMENT], d["low"], d["high"], -(-FINER * d["n"] // limit))
+                (*(d[k] for k in keys), d[SEGMENT], d["low"], (d["high"] - d["low"]) // -(-FINER * d["n"] // limit) + 1)
                 for d in dense
             ],
-            f"{types}, {SEGMENT} long, low long, high long, parts long",
+            f"{types}, {SEGMENT} long, low long, width long",
         )
         counted = _cut(rows, ranges, keys, order, "inner").groupBy(*keys, SEGMENT).agg(*_size(order))
         rows = _cut(rows, ranges, keys, order, "left")
         # As many as there are shares at most; a single value cannot be cut.
         crowded = counted.where((F.col("n") > limit) & (F.col("high") > F.col("low")))
         dense = [row.asDict() for row in crowded.collect()]
-        if not dense:
-            break
     return Segmented(rows, rows.join(F.broadcast(names), list(keys)), keys, order)
 
 

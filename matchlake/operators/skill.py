@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.slots import slot_start
 
+# Rows of a group that ranking keeps on the map side at most, and parts of larger groups.
+_RANKED, _PARTS = 1000, 64
+
 
 def _games_after(
     timeline: DataFrame, drop_first: int, order: str, *group: str
@@ -24,8 +27,16 @@ def _games_after(
     counted = real.select(*keys, "win", "sign")
     if drop_first > 0:
         oldest = Window.partitionBy("account_id").orderBy(order)
+        games = real.select(*keys, "win", order)
+        if drop_first > _RANKED:
+            # More games than the map side ranks: a part of a player's games goes to each
+            # of several tasks, which pass on their oldest ones only.
+            part = F.pmod(F.xxhash64(order), F.lit(_PARTS))
+            within = Window.partitionBy("account_id", "part").orderBy(order)
+            games = games.withColumn("part", part).withColumn("n", F.row_number().over(within))
+            games = games.where(F.col("n") <= drop_first).drop("part", "n")
         first = (
-            real.select(*keys, "win", order)
+            games
             .withColumn("n", F.row_number().over(oldest))
             .where(F.col("n") <= drop_first)
             .select(*keys, "win", F.lit(-1).alias("sign"))

@@ -6,8 +6,9 @@ import shutil
 import duckdb
 import pytest
 from comparison import connect, normal, rows_of_sql
+from pyspark.sql import functions as F
 
-from matchlake.operators import quality, segments, timeline
+from matchlake.operators import quality, segments, skill, timeline
 from matchlake.plans.oracles import oracle_sql
 from matchlake.plans.queries import QUERIES
 
@@ -79,3 +80,29 @@ def test_large_player_is_cut(spark, folder):
     assert sum(sizes.values()) == games.count()
     own = [n for (account, _), n in sizes.items() if account == 8]
     assert len(own) >= 15 and max(own) < sum(own) / 8
+
+
+def test_nested_bursts_are_cut_until_they_fit(spark):
+    """Bursts inside bursts: every segment fits in the end, and none breaks the order."""
+    times = sorted({10**k * j for k in range(12) for j in range(40)} | set(range(3_000)))
+    rows = spark.createDataFrame([(1, t) for t in times] + [(2, 5)], "account_id long, ts long")
+    cut = segments.split(rows, ("account_id",), "ts", min_rows=20, max_share=100)
+    found = cut.rows.where("account_id = 1").groupBy("segment").agg(
+        F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")
+    ).orderBy("segment").collect()
+    assert max(r.n for r in found) <= max(20, (len(times) + 1) // 100)
+    assert all(a.high < b.low for a, b in zip(found, found[1:], strict=False))
+    assert sum(r.n for r in found) == len(times)
+
+
+def test_many_first_games(spark):
+    """Leaving out more games than ranking keeps on the map side."""
+    rows = [(1 + (k % 7 == 0), k, k % 3, k % 2 == 0, 2) for k in range(4_000)]
+    timeline = spark.createDataFrame(rows, "account_id long, ts long, hero_id int, win boolean, real_match int")
+    found = {(r.account_id, r.hero_id): (round(r.score * r.size), r.size) for r in skill.hero_skill_raw(timeline, 1_500, 1).collect()}
+    expected = {}
+    for account in (1, 2):
+        for _, _, hero, win, _ in [r for r in rows if r[0] == account][1_500:]:
+            wins, games = expected.get((account, hero), (0, 0))
+            expected[account, hero] = (wins + win, games + 1)
+    assert found == expected
