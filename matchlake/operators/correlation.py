@@ -1,9 +1,9 @@
 """Correlations between sparse vectors given as (index, vec, val) triples.
 
 A triple is unique per (index, vec). Vectors are heroes or similar small
-catalogues with dense integer ids, indexes are players. Pairs are formed by an
-equi-join on the index, so an index makes at most as many pairs as the catalogue
-has, and the sums are combined per task before they are shuffled.
+catalogues with integer ids, indexes are players. The values of an index meet in one
+row, a list that the catalogue bounds, and are paired there: one shuffle of the triples
+and no join. The sums per pair are combined per task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +17,16 @@ from ..sources.dimensions import lookup
 
 def _pairs(triples: DataFrame) -> DataFrame:
     """Values of two vectors, ``lower`` < ``upper``, at each index they share."""
-    lower = triples.select("index", F.col("vec").alias("lower"), F.col("val").alias("x"))
-    upper = triples.select("index", F.col("vec").alias("upper"), F.col("val").alias("y"))
-    return lower.join(upper, "index").where(F.col("lower") < F.col("upper"))
+    known = triples.where(F.col("index").isNotNull() & F.col("vec").isNotNull())
+    lists = known.groupBy("index").agg(F.collect_list(F.struct("vec", F.col("val"))).alias("values"))
+    firsts = lists.where(F.size("values") > 1).select("values", F.explode("values").alias("low"))
+    above = F.filter("values", lambda v: v["vec"] > F.col("low.vec"))
+    return firsts.select("low", F.explode(above).alias("up")).select(
+        F.col("low.vec").alias("lower"),
+        F.col("low.val").alias("x"),
+        F.col("up.vec").alias("upper"),
+        F.col("up.val").alias("y"),
+    )
 
 
 def shared_correlations(triples: DataFrame, size_filter: int | None = None) -> DataFrame:
@@ -44,14 +51,6 @@ def _vector_sums(triples: DataFrame) -> DataFrame:
     )
 
 
-def _products(triples: DataFrame) -> DataFrame:
-    return (
-        _pairs(triples)
-        .groupBy(F.col("upper").alias("vec1"), F.col("lower").alias("vec2"))
-        .agg(F.sum(F.col("x") * F.col("y")).alias("product"))
-    )
-
-
 def _shared_sums(triples: DataFrame) -> DataFrame:
     """Shared values of each pair: their number, means, and sum of products around them."""
     shared = F.count("*").cast("double")
@@ -133,27 +132,17 @@ def matrix_correlations(triples: DataFrame, vector_length: int | Column) -> Data
     values only, so this differs from Pearson. Pairs sharing no index are absent.
     """
     n = _length(vector_length)
-    # Sum of (x - mean)^2 over the present values, from their sums.
-    stats = (
-        triples.groupBy("vec")
-        .agg(
-            F.sum("val").alias("total"),
-            F.sum(F.col("val") * F.col("val")).alias("squares"),
-            F.count("*").alias("present"),
-        )
-        .withColumn("mean", F.col("total") / n)
-        .withColumn(
-            "spread",
-            F.col("squares")
-            - 2 * F.col("mean") * F.col("total")
-            + F.col("present") * F.col("mean") * F.col("mean"),
-        )
-        .select("vec", "mean", F.sqrt(F.greatest("spread", F.lit(0.0)) / n).alias("deviation"))
-    )
-    normal = triples.join(stats, "vec").select(
-        "index", "vec", F.try_divide(F.col("val") - F.col("mean"), F.col("deviation")).alias("val")
-    )
-    return _products(normal).select("vec1", "vec2", (F.col("product") / n).alias("cor"))
+    whole = F.col("mean") * F.col("present") / n
+    around = F.col("spread") + F.col("present") * (F.col("mean") - whole) * (F.col("mean") - whole)
+    stats = _vector_sums(triples).select("vec", whole.alias("whole"), F.sqrt(around / n).alias("deviation"))
+    pairs = _shared_sums(triples)
+    for k in (1, 2):
+        side = stats.select(*[F.col(c).alias(f"{c}{k}") for c in stats.columns])
+        pairs = pairs.join(side, f"vec{k}")
+    # Means and deviations are those of the vectors, so the triples need no join.
+    offset = F.col("shared") * (F.col("shared1") - F.col("whole1")) * (F.col("shared2") - F.col("whole2"))
+    scale = F.col("deviation1") * F.col("deviation2") * n
+    return pairs.select("vec1", "vec2", F.try_divide(F.col("covariance") + offset, scale).alias("cor"))
 
 
 def named_correlations(
