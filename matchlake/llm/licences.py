@@ -123,7 +123,8 @@ def licence_spans(documents: DataFrame) -> DataFrame:
     docs = _documents(documents)
     runs = _runs(docs).select("row_key", F.posexplode("runs").alias("at", "run"))
     votes = (
-        runs.join(template_runs(docs.sparkSession), "run")
+        # The templates are the fixed list above, a few hundred runs.
+        runs.join(F.broadcast(template_runs(docs.sparkSession)), "run")
         .withColumn("diagonal", F.col("at") - F.col("place"))
         # Equal rows have equal votes: a place votes once.
         .groupBy("row_key", "template", "label", "runs", "diagonal")
