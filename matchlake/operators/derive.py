@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..sources import cells
 from .classify import real_match_status
 
 
@@ -96,8 +95,3 @@ def games_played(timeline: DataFrame, ts: int = 0) -> DataFrame:
         .agg(F.count_if(F.col("real_match") != 1.0).cast("double").alias("games_played"))
         .select("account_id", F.lit(ts).cast("long").alias("ts"), "games_played")
     )
-
-
-def upsert_derived(stored: DataFrame, puts: DataFrame) -> DataFrame:
-    """Cells of player or match tables after new derived values are put."""
-    return cells.upsert(stored, puts)

@@ -3,7 +3,10 @@
     spark-submit -m matchlake hero_win_rates --matches <parquet> --interval 10800 --output <path>
 
 The arguments of a job are the parameters of its function below. A ``Table`` is a
-parquet path, ``Lines`` a path of text lines, ``Document`` a JSON file.
+parquet path, ``Cells`` one of stored cells, ``Lines`` a path of text lines, ``Document``
+a JSON file. ``Triples`` are a parquet path, or comma-separated text behind ``csv:``.
+Results are written as parquet, as CSV, as ``by_day`` folders of matches, as ``cells``
+in a folder for each qualifier, or as ``key_value`` lines of their first two columns.
 """
 
 from __future__ import annotations
@@ -35,10 +38,14 @@ from ..sources import cells, dimensions, files
 from . import chains
 
 Table = NewType("Table", DataFrame)
+Cells = NewType("Cells", DataFrame)
+Triples = NewType("Triples", DataFrame)
 Lines = NewType("Lines", DataFrame)
 Document = NewType("Document", DataFrame)
 Names = NewType("Names", list)
 
+FORMATS = ("parquet", "csv", "csv_header", "by_day", "cells", "key_value")
+
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -111,10 +118,20 @@ def games_played(timeline: Table, ts: int = 0) -> DataFrame:
 
 
 @job
-def upsert_cells(stored: Table, puts: Table) -> DataFrame:
+def upsert_cells(stored: Cells, puts: Cells) -> DataFrame:
     return cells.upsert(stored, puts)
 
 
+@job
+def matching_cells(stored: Cells, pattern: str) -> DataFrame:
+    return cells.matching(stored, pattern)
+
+
+@job
+def hero_cells(rates: Table, interval: int) -> DataFrame:
+    return herostats.hero_cells(rates, interval)
+
+
 @job
 def latest_cells(stored: Table) -> DataFrame:
     return cells.latest(stored)
@@ -155,7 +172,7 @@ def skill_triples(skill_table: Table) -> DataFrame:
 
 
 @job
-def tuple_correlations(triples: Table, size_filter: int = 0) -> DataFrame:
+def tuple_correlations(triples: Triples, size_filter: int = 0) -> DataFrame:
     return correlation.shared_correlations(triples, size_filter)
 
 
@@ -339,9 +356,31 @@ def decode_players(matches: Table, heroes: Table, items: Table) -> DataFrame:
 # --- running ----------------------------------------------------------------------------
 
 
+def _triples(spark: SparkSession, path: str) -> DataFrame:
+    text = path.removeprefix("csv:")
+    return spark.read.parquet(path) if text == path else files.read_triples(spark, text)
+
+
+def _write(result: DataFrame, output: str, kind: str) -> None:
+    if kind == "parquet":
+        result.write.mode("errorifexists").parquet(output)
+    elif kind == "by_day":
+        files.write_matches(result, output)
+    elif kind == "cells":
+        cells.write(result, output)
+    elif kind == "key_value":
+        files.write_key_values(result, *result.columns[:2], output)
+    else:
+        files.write_csv(result, output, header=kind == "csv_header")
+
+
 def _reader(kind: object, spark: SparkSession) -> Callable[[str], object]:
     if kind is Table:
         return spark.read.parquet
+    if kind is Cells:
+        return lambda path: cells.read(spark, path)
+    if kind is Triples:
+        return lambda path: _triples(spark, path)
     if kind is Lines:
         return lambda path: files.read_lines(spark, path)
     if kind is Document:
@@ -370,14 +409,10 @@ def run(spark: SparkSession, arguments: list[str]) -> None:
             default=None if required else parameter.default,
         )
     options.add_argument("--output", required=True)
-    options.add_argument("--format", choices=("parquet", "csv", "csv_header"), default="parquet")
+    options.add_argument("--format", choices=FORMATS, default="parquet")
     values = vars(options.parse_args(arguments[1:]))
     output, kind = values.pop("output"), values.pop("format")
-    result = function(**values)
-    if kind == "parquet":
-        result.write.mode("errorifexists").parquet(output)
-    else:
-        files.write_csv(result, output, header=kind == "csv_header")
+    _write(function(**values), output, kind)
 
 
 def main(arguments: list[str]) -> None:

@@ -204,7 +204,7 @@ def upsert_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("entity") % 2 == 1, F.col("ts")).otherwise(F.col("ts") + 1).alias("ts"),
         (F.col("value") + 10).alias("value"),
     )
-    return _rounded(derive.upsert_derived(stored, puts), "value")
+    return _rounded(cells.upsert(stored, puts), "value")
 
 
 @query

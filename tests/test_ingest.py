@@ -237,6 +237,34 @@ def test_jobs_from_files(spark, tmp_path):
         jobs.run(spark, ["hero_win_rates", "--matches", path("matches"), "--output", path("x")])
 
 
+def test_jobs_over_other_formats(spark, tmp_path):
+    """Import by day, triples as text, key-value lines, and cells stored, put and read again."""
+    def path(name):
+        return str(tmp_path / name)
+
+    telemetry.raw_match_lines(telemetry.matches(spark, FOLDER)).write.text(path("raw"))
+    jobs.run(spark, ["ingest_matches", "--lines", path("raw"), "--output", path("days"), "--format", "by_day"])
+    days = spark.read.parquet(path("days"))
+    one = days.select("day").distinct().orderBy("day").first().day
+    plan = days.where(F.col("day") == one)._jdf.queryExecution().executedPlan().toString()
+    assert days.count() == 100 and "PartitionFilters: [isnotnull(day" in plan
+
+    rows = [(i, v, float(i * v % 5), 9) for i in range(12) for v in (1, 2, 3)]
+    files.write_csv(spark.createDataFrame(rows, schemas.TRIPLES), path("triples"))
+    jobs.run(spark, ["tuple_correlations", "--triples", "csv:" + path("triples"), "--output", path("cor")])
+    assert spark.read.parquet(path("cor")).count() == 3
+
+    jobs.run(spark, ["compare_match_ids", "--lines", path("raw"), "--matches", path("days"), "--output", path("none"), "--format", "key_value"])
+    assert files.read_lines(spark, path("none")).count() == 0
+
+    stored = spark.createDataFrame([(1, "a", 5, 1.0), (1, "b", 5, 2.0)], "entity long, qualifier string, ts long, value double")
+    cells.write(stored, path("cells"))
+    stored.where("qualifier = 'a'").withColumn("value", F.lit(7.0)).write.parquet(path("puts"))
+    jobs.run(spark, ["upsert_cells", "--stored", path("cells"), "--puts", path("puts"), "--output", path("after"), "--format", "cells"])
+    jobs.run(spark, ["matching_cells", "--stored", path("after"), "--pattern", "a|c", "--output", path("matched")])
+    assert [tuple(r) for r in cells.read(spark, path("matched")).collect()] == [(1, "a", 5, 7.0)]
+
+
 def test_every_job_has_readable_parameters(spark):
     import typing
 
