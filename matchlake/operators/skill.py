@@ -7,56 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.slots import slot_start
+from ..sources.dimensions import lookup
 
 # Rows of a group that ranking keeps on the map side at most, and parts of larger groups.
 _RANKED, _PARTS = 1000, 64
 
 
-def _games_after(
-    timeline: DataFrame, drop_first: int, order: str, *group: str
-) -> DataFrame:
-    """Real games and wins per player and group, without each player's first games.
+def _signed_games(timeline: DataFrame, drop_first: int, order: str, *columns: str) -> DataFrame:
+    """Real games with sign 1, and each player's first games again with sign -1.
 
-    The first games are counted with a negative sign instead of ordering the
-    whole timeline: ranking keeps only the first ``drop_first`` rows per player on
-    the map side, and both parts are summed before the shuffle, so a player
-    with very many games costs no more than others.
+    Sums of signed games leave the first ones out without ordering the whole timeline:
+    ranking keeps only the first ``drop_first`` rows per player on the map side, and both
+    parts are summed before the shuffle, so a player with very many games costs
+    no more than others.
     """
-    keys = ["account_id", "hero_id", *group]
-    real = timeline.where(F.col("real_match") >= fixed.REAL_MATCH).withColumn("sign", F.lit(1))
-    counted = real.select(*keys, "win", "sign")
-    if drop_first > 0:
-        oldest = Window.partitionBy("account_id").orderBy(order)
-        games = real.select(*keys, "win", order)
-        if drop_first > _RANKED:
-            # More games than the map side ranks: a part of a player's games goes to each
-            # of several tasks, which pass on their oldest ones only.
-            part = F.pmod(F.xxhash64(order), F.lit(_PARTS))
-            within = Window.partitionBy("account_id", "part").orderBy(order)
-            games = games.withColumn("part", part).withColumn("n", F.row_number().over(within))
-            games = games.where(F.col("n") <= drop_first).drop("part", "n")
-        first = (
-            games
-            .withColumn("n", F.row_number().over(oldest))
-            .where(F.col("n") <= drop_first)
-            .select(*keys, "win", F.lit(-1).alias("sign"))
-        )
-        counted = counted.unionByName(first)
-    return (
-        counted.groupBy(*keys)
-        .agg(
-            F.sum("sign").alias("games"),
-            F.sum(F.when(F.col("win"), F.col("sign")).otherwise(0)).alias("wins"),
-        )
-        .where(F.col("games") > 0)
-    )
+    keys = ["account_id", "hero_id", *columns, "win"]
+    real = timeline.where(F.col("real_match") >= fixed.REAL_MATCH)
+    signed = real.select(*keys, F.lit(1).alias("sign"))
+    if drop_first <= 0:
+        return signed
+    games = real.select(*keys, F.col(order).alias("at"))
+    oldest = Window.partitionBy("account_id").orderBy("at")
+    if drop_first > _RANKED:
+        # More games than the map side ranks: a part of a player's games goes to each
+        # of several tasks, which pass on their oldest ones only.
+        part = F.pmod(F.xxhash64("at"), F.lit(_PARTS))
+        within = Window.partitionBy("account_id", "part").orderBy("at")
+        games = games.withColumn("part", part).withColumn("n", F.row_number().over(within))
+        games = games.where(F.col("n") <= drop_first).drop("part", "n")
+    first = games.withColumn("n", F.row_number().over(oldest)).where(F.col("n") <= drop_first)
+    return signed.unionByName(first.select(*keys, F.lit(-1).alias("sign")))
 
 
 def hero_skill_raw(
     timeline: DataFrame, drop_first: int, min_games: int, order: str = "ts"
 ) -> DataFrame:
     """Mean win and number of games per (player, hero)."""
-    games = _games_after(timeline, drop_first, order)
+    games = (
+        _signed_games(timeline, drop_first, order)
+        .groupBy("account_id", "hero_id")
+        .agg(F.sum("sign").alias("games"), F.sum(F.when(F.col("win"), F.col("sign")).otherwise(0)).alias("wins"))
+        .where(F.col("games") > 0)
+    )
     return games.where(F.col("games") >= min_games).select(
         "account_id",
         "hero_id",
@@ -81,26 +73,23 @@ def hero_skill_adjusted(
     towards ``min_games``.
     """
     slotted = timeline.withColumn("slot_ms", slot_start(F.col(time_ms), interval))
-    games = _games_after(slotted, drop_first, order, "slot_ms")
-    if min_games > 1:
-        # Rows here are one per slot, so this window is bounded by the covered time.
-        per_hero = Window.partitionBy("account_id", "hero_id")
-        games = games.withColumn("hero_games", F.sum("games").over(per_hero)).where(
-            F.col("hero_games") >= min_games
-        )
-    expected = rates.select("hero_id", "slot_ms", "win_rate")
+    # Heroes times slots: small beside the games, which meet the rates where they are read.
+    expected = lookup(rates.select("hero_id", "slot_ms", "win_rate"))
+    games = _signed_games(slotted, drop_first, order, "slot_ms").join(expected, ["hero_id", "slot_ms"], "left")
+    rated = F.when(F.col("win_rate").isNotNull(), F.col("sign"))
     return (
-        games.join(expected, ["hero_id", "slot_ms"])
-        .groupBy("account_id", "hero_id")
+        games.groupBy("account_id", "hero_id")
         .agg(
-            F.sum("wins").alias("wins"),
-            F.sum(F.col("games") * F.col("win_rate")).alias("expected"),
-            F.sum("games").alias("size"),
+            F.sum("sign").alias("games"),
+            F.sum(rated).alias("size"),
+            F.sum(F.when(F.col("win"), rated)).alias("wins"),
+            F.sum(rated * F.col("win_rate")).alias("expected"),
         )
+        .where((F.col("games") >= max(min_games, 1)) & (F.col("size") > 0))
         .select(
             "account_id",
             "hero_id",
-            ((F.col("wins") - F.col("expected")) / F.col("size")).alias("score"),
+            ((F.coalesce("wins", F.lit(0)) - F.col("expected")) / F.col("size")).alias("score"),
             "size",
         )
     )

@@ -106,3 +106,13 @@ def test_many_first_games(spark):
             wins, games = expected.get((account, hero), (0, 0))
             expected[account, hero] = (wins + win, games + 1)
     assert found == expected
+
+
+def test_adjusted_skill_aggregates_once(spark):
+    """Rates meet the games where they are read; one aggregate by player and hero."""
+    games = spark.createDataFrame([(1, 5, 2, True, 2), (1, 9, 2, False, 2)], "account_id long, ts long, hero_id int, win boolean, real_match int")
+    rates = spark.createDataFrame([(2, 0, 0.25)], "hero_id int, slot_ms long, win_rate double")
+    frame = skill.hero_skill_adjusted(games, rates, 60, 0, 1)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "Window" not in plan
+    assert [tuple(r) for r in frame.collect()] == [(1, 2, 0.25, 2)]
