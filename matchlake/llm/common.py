@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,17 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(wide).to_pylist()
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, which bound what a task holds as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    BOUND = 300_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -69,18 +76,6 @@ def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mixed(total)
 
 
-def batched(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` rows."""
-    part = []
-    for row in rows:
-        part.append(row)
-        if len(part) >= size:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
 def held_out(modulus: int) -> Column:
     """Rows kept from training: crc32 of the id as text leaves 2; a null id is never held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, texts_of
+from .common import Scratch, alnum_words, pieces, texts_of
 
 #: Words of a test phrase.
 WINDOW = 10
@@ -260,7 +260,7 @@ def _search(docs: DataFrame, phrases: Phrases, shard_symbols: int) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_words", "spans", "items"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             keys = texts_of(batch, "text_key")
             for doc_id, key, text in zip(batch.column(0).to_pylist(), keys, texts_of(batch, "text"), strict=True):
                 shard.add(doc_id, key, text)

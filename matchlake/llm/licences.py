@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words, shingle_hashes, texts_of
+from .common import WordHashes, alnum_words, pieces, shingle_hashes, texts_of
 
 GRAM = 3
 #: Diagonals this close belong to one span.
@@ -70,7 +70,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     """(row_key, runs): hashes of all runs of each row that has any."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             keys, runs = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
                 words = alnum_words(text or b"")
@@ -97,7 +97,7 @@ def _base(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row_key", "n_words", "n_base", "first_word", "last_word", "base_labels"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
                 words = alnum_words(text or b"")

@@ -21,7 +21,6 @@ So heavily edited copies of one text are told apart without reading their sets a
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mixed, shingle_hashes, space_words, texts_of
+from .common import Scratch, WordHashes, mixed, pieces, shingle_hashes, space_words, texts_of
 
 #: Words of a shingle, and the least similarity in percent, unless the caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -78,7 +77,7 @@ def signatures(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 def _signed(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), _parameters()
-        for batch in batches:
+        for batch in pieces(batches):
             counts, keys, signed = [], [], []
             for text in texts_of(batch, "text"):
                 shingles = shingle_set(text, length, hashes)
@@ -96,7 +95,7 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
 def _sets(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingle_set(text, length, hashes) for text in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents looked at for fitting, about, and stretches taken from them, at most.
 SAMPLE_DOCS, SAMPLE_STRETCHES = 16_000, 600
@@ -318,7 +320,7 @@ def personal_data(documents: DataFrame, field: Field | None = None) -> DataFrame
     sent = documents.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts, digests, all_spans = [[], [], [], []], [], []
             for text in batch.column(1).to_pylist():
                 base, spans = find(text, sent.value)
@@ -356,7 +358,7 @@ def redacted(documents: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = functools.partial(masked, field=sent.value)
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(at)
             yield batch.set_column(at, batch.schema.field(at), pa.array(map(mask, column.to_pylist()), column.type))
 
