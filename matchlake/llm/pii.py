@@ -3,7 +3,8 @@
 The patterns give base spans, which always stay. The random field reads stretches of text
 that hold digits or an at sign as sequences of atoms (digit runs, letter runs, single
 symbols). Each candidate segment of up to ``MOST_ATOMS`` atoms is scored by features of the whole
-segment, and dynamic programming over segments chooses boundaries and types together. Its
+segment, and dynamic programming over segments chooses boundaries and types together, over a whole stretch
+of any length. Its
 weights are fitted by gradient steps on the conditional likelihood of the base spans of a
 bounded sample, with some numbers also shown without their country code, so it adds
 what resembles them.
@@ -15,6 +16,8 @@ import functools
 import hashlib
 import math
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents looked at for fitting, about, and stretches taken from them, at most.
 SAMPLE_DOCS, SAMPLE_STRETCHES = 16_000, 600
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-4
-#: Characters of a stretch; a longer one is read in pieces, where possible cut at spaces.
+#: Characters of a stretch that is fitted on; a longer one is shown in pieces, where possible cut at spaces.
 MOST_CHARS = 256
 #: Atoms of a segment.
 MOST_ATOMS = 16
@@ -101,29 +104,49 @@ def stretches(text: str) -> Iterator[tuple[int, str]]:
             if not _TRIGGER.search(word[0]):
                 break
             end = word.end()
-        while end - start > MOST_CHARS:
-            cut = text.rfind(" ", start + 1, start + MOST_CHARS)
-            cut = cut if cut > start else start + MOST_CHARS
-            yield start, text[start:cut]
-            start = cut
         yield start, text[start:end]
         done = end
 
 
+def _examples(text: str) -> Iterator[str]:
+    """Stretches to fit on, long ones in pieces."""
+    for _, stretch in stretches(text):
+        start = 0
+        while len(stretch) - start > MOST_CHARS:
+            cut = stretch.rfind(" ", start + 1, start + MOST_CHARS)
+            cut = cut if cut > start else start + MOST_CHARS
+            yield stretch[start:cut]
+            start = cut
+        yield stretch[start:]
+
+
 class Stretch:
-    """Atoms of a piece of text, and its candidate segments with their features."""
+    """Atoms of a stretch of text, and its candidate segments with their features."""
 
     def __init__(self, text: str, start: int = 0):
         self.text, self.start = text, start
-        self.atoms = [m.span() for m in _ATOM.finditer(text)]
-        self.segments: dict[tuple[int, int], tuple[str, ...]] = {}
-        for i, (first, _) in enumerate(self.atoms):
-            if not (text[first].isalnum() or text[first] in "+("):
-                continue
-            for j in range(i, min(len(self.atoms), i + MOST_ATOMS)):
-                last = self.atoms[j][1]
-                if text[last - 1].isalnum() and _TRIGGER.search(text, first, last):
-                    self.segments[i, j + 1] = self._features(first, last, j + 1 - i)
+        self.starts, self.stops = array("q"), array("q")
+        for m in _ATOM.finditer(text):
+            self.starts.append(m.start())
+            self.stops.append(m.end())
+
+    def ending(self, j: int) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """First atom and features of the candidate segments that end before atom ``j``."""
+        text, last = self.text, self.stops[j - 1]
+        if not text[last - 1].isalnum():
+            return
+        low = max(0, j - MOST_ATOMS)
+        # A digit or at sign begins its atom.
+        trigger = next((k for k in range(j - 1, low - 1, -1) if _TRIGGER.match(text, self.starts[k])), -1)
+        for i in range(low, trigger + 1):
+            first = self.starts[i]
+            if text[first].isalnum() or text[first] in "+(":
+                yield i, self._features(first, last, j - i)
+
+    @functools.cached_property
+    def segments(self) -> dict[tuple[int, int], tuple[str, ...]]:
+        """Features of all candidate segments, which only fitting holds at once."""
+        return {(i, j): features for j in range(1, len(self.starts) + 1) for i, features in self.ending(j)}
 
     def _features(self, first: int, last: int, atoms: int) -> tuple[str, ...]:
         """What the whole segment looks like."""
@@ -169,7 +192,7 @@ class Field:
 
     def _scored(self, stretch: Stretch) -> list[list[tuple[int, int, float]]]:
         """By end: (start, kind, score) of the segments; the last kind is an outside atom."""
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(len(stretch.atoms) + 1)]
+        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(len(stretch.starts) + 1)]
         for (i, j), features in stretch.segments.items():
             for kind in range(len(KINDS)):
                 ends[j].append((i, kind, self.score(kind, features)))
@@ -178,26 +201,36 @@ class Field:
         return ends
 
     def decode(self, stretch: Stretch) -> list[Span]:
-        """The best segmentation's spans, placed in the whole text."""
-        outside, count = len(KINDS), len(KINDS) + 1
-        ends = self._scored(stretch)
-        best: list[list[float]] = [[-math.inf] * count for _ in ends]
-        back: list[list[tuple[int, int] | None]] = [[None] * count for _ in ends]
-        best[0][outside] = 0.0
+        """The best segmentation's spans, placed in the whole text.
+
+        Scores are held for the last ``MOST_ATOMS`` ends; of all others only the way back, a byte each.
+        """
+        outside, count, size = len(KINDS), len(KINDS) + 1, len(stretch.starts)
+        recent = deque([[-math.inf] * outside + [0.0]], maxlen=MOST_ATOMS)
+        back = bytearray(count)
         follows = self.follows.tolist()
-        for j in range(1, len(ends)):
-            for i, kind, score in ends[j]:
-                for before in range(count):
-                    value = best[i][before] + follows[before][kind] + score
-                    if value > best[j][kind]:
-                        best[j][kind], back[j][kind] = value, (i, before)
+        for j in range(1, size + 1):
+            best, way = [-math.inf] * count, bytearray(count)
+
+            def reach(i: int, kind: int, score: float, j: int = j, best: list[float] = best, way: bytearray = way) -> None:
+                for before, so_far in enumerate(recent[i - j]):
+                    value = so_far + follows[before][kind] + score
+                    if value > best[kind]:
+                        best[kind], way[kind] = value, (j - i) * count + before
+
+            for i, features in stretch.ending(j):
+                for kind in range(outside):
+                    reach(i, kind, self.score(kind, features))
+            reach(j - 1, outside, 0.0)
+            recent.append(best)
+            back += way
         spans: list[Span] = []
-        at, kind = len(ends) - 1, max(range(count), key=lambda k: best[-1][k])
+        at, kind = size, max(range(count), key=lambda k: recent[-1][k])
         while at:
-            start, before = back[at][kind]
+            atoms, before = divmod(back[at * count + kind], count)
             if kind < outside:
-                spans.append((kind, stretch.start + stretch.atoms[start][0], stretch.start + stretch.atoms[at - 1][1]))
-            at, kind = start, before
+                spans.append((kind, stretch.start + stretch.starts[at - atoms], stretch.start + stretch.stops[at - 1]))
+            at, kind = at - atoms, before
         return spans[::-1]
 
     def learn(self, stretch: Stretch, gold: set[tuple[int, int, int]], rate: float) -> None:
@@ -239,8 +272,8 @@ class Field:
 
 def _gold(stretch: Stretch, spans: list[Span]) -> set[tuple[int, int, int]]:
     """Base spans as atoms; of overlapping ones the first stays."""
-    starts = {a: k for k, (a, _) in enumerate(stretch.atoms)}
-    stops = {b: k + 1 for k, (_, b) in enumerate(stretch.atoms)}
+    starts = {a: k for k, a in enumerate(stretch.starts)}
+    stops = {b: k + 1 for k, b in enumerate(stretch.stops)}
     found: set[tuple[int, int, int]] = set()
     taken: set[int] = set()
     for kind, start, end in spans:
@@ -256,7 +289,7 @@ def fit(texts: Iterable[str]) -> Field:
     """Weights from the base spans of these texts, for at most ``SAMPLE_STRETCHES`` stretches."""
     examples: dict[str, list[Span]] = {}
     for text in texts:
-        for _, piece in stretches(text):
+        for piece in _examples(text):
             examples.setdefault(piece, base_spans(piece))
     order = sorted(examples, key=lambda t: hashlib.sha256(t.encode("utf-8", "replace")).digest())
     with_spans = [t for t in order if examples[t]][: SAMPLE_STRETCHES * 2 // 3]

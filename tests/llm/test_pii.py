@@ -90,3 +90,37 @@ def test_long_texts_take_linear_time(field):
         began = time.perf_counter()
         pii.find(text, field)
         assert time.perf_counter() - began < 30
+
+
+def test_spans_at_every_offset_of_long_stretches(field):
+    """A number is found whole wherever it stands in a stretch of over 256 characters."""
+    number = "(301) 555-0199"
+    for offset in range(225, 290):
+        before = "9.99 " * (offset // 5) + "7" * (offset % 5 - 1) + " " * (offset % 5 > 1)
+        text = before + number + " 9.99" * 80
+        assert len(list(pii.stretches(text))) == 1
+        added = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.find(text, field)[1] if e > len(before) and s < len(before) + len(number)]
+        assert added == [("phone", number)], offset
+    listed = " ".join(f"({200 + k}) 555-0{100 + k}" for k in range(300))
+    assert pii.masked(listed, field) == " ".join(["[PHONE]"] * 300)
+
+
+def test_decodes_the_best_segmentation(field):
+    """Rows of scores that are let go do not change the result."""
+    rng = random.Random(3)
+    outside, count = len(pii.KINDS), len(pii.KINDS) + 1
+    for _ in range(30):
+        stretch = pii.Stretch(" ".join(rng.choice(["(301) 555-0199", "1.2.3.4", "a@b.co", "9", "x7-", "4111 1111"]) for _ in range(25)))
+        ends = field._scored(stretch)
+        best = [[0.0 if k == outside else -float("inf") for k in range(count)]]
+        for found in ends[1:]:
+            best.append([max((best[i][b] + field.follows[b, k] + s for i, kind, s in found if kind == k for b in range(count)), default=-float("inf")) for k in range(count)])
+        value, at, last = 0.0, 0, outside
+        starts, stops = {a: k for k, a in enumerate(stretch.starts)}, {b: k + 1 for k, b in enumerate(stretch.stops)}
+        path = [(starts[s], stops[e], k) for k, s, e in field.decode(stretch)]
+        for i, j, kind in [*path, (len(stretch.starts), None, None)]:
+            for _ in range(at, i):
+                value, last = value + field.follows[last, outside], outside
+            if j:
+                value, last, at = value + field.follows[last, kind] + field.score(kind, stretch.segments[i, j]), kind, j
+        assert value == pytest.approx(max(best[-1]))
