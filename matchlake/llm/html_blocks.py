@@ -39,7 +39,7 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video textarea button select".split())
+SILENT_TAGS = frozenset("script style noscript template iframe svg canvas audio video textarea button select".split())
 #: A tag that opens ends an open one of these.
 ENDS_P = BLOCK_TAGS - {"option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 MAIN_WORDS = frozenset("article main content post entry story body text h1".split())
@@ -107,7 +107,7 @@ class BlockParser(HTMLParser):
         names = [tag]
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                names += [f".{w}" for w in _NAME.findall(value.lower())[:8]]
+                names += [f".{w}" for w in _NAME.findall(value.lower())]
         self.open.append((tag, tuple(names)))
         self.silent += tag in SILENT_TAGS
 
@@ -158,7 +158,7 @@ def _slot(word: str, size: int) -> int:
 
 
 def features(blocks: list[Block], hidden: bool = False) -> np.ndarray:
-    """A row for each block: hashed path, hashed first and last words, measures."""
+    """A row for each block: hashed path, all hashed words, measures."""
     table = np.zeros((len(blocks), PATHS + WORDS + MEASURES), np.float32)
     slots: dict[tuple[str, ...], list[int]] = {}
     for k, block in enumerate(blocks):
@@ -167,9 +167,8 @@ def features(blocks: list[Block], hidden: bool = False) -> np.ndarray:
             slots[block.path] = [_slot(w, PATHS) for w in words]
         for at in slots[block.path]:
             table[k, at] = 1
-        words = block.text.split(" ", 12)[:12]
-        for word in words:
-            table[k, PATHS + _slot(word.lower(), WORDS)] += 1 / len(words)
+        words = block.text.lower().encode("utf-8", "replace").split(b" ")
+        table[k, PATHS : PATHS + WORDS] = np.bincount([zlib.crc32(w) % WORDS for w in words], minlength=WORDS) / len(words)
         size = len(block.text)
         stops = sum(block.text.count(c) for c in ".,;!?")
         table[k, PATHS + WORDS :] = (

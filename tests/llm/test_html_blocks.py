@@ -89,3 +89,14 @@ def test_odd_pages(spark, labeller):
     assert all(r.text == "" for r in found if r.page_id in (1, 2, 3, 6))
     assert next(r for r in found if r.page_id == 5).text.count("\n") == 5999
     assert html_blocks.extracted(frame.where("page_id < 0")).collect() == []
+
+
+def test_whole_blocks_and_names_are_read():
+    same = "one two three four five six seven eight nine ten eleven twelve "
+    words = slice(html_blocks.PATHS, html_blocks.PATHS + html_blocks.WORDS)
+    rows = [html_blocks.features(html_blocks.blocks_of(f"<p>{same}{rest}</p>"))[0, words] for rest in ("read on below", "buy now and save")]
+    assert np.abs(rows[0] - rows[1]).max() > 0.01 and rows[0].sum() == pytest.approx(1)
+    page = f'<div class="{" ".join("abcdefghijkl")} sidebar"><p>Other things.</p></div>'
+    assert ".sidebar" in html_blocks.blocks_of(page)[0].path
+    formula = "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, see <object data=\"a.pdf\">the paper</object>.</p>"
+    assert html_blocks.blocks_of(formula)[0].text == "So x=1 holds, see the paper."
