@@ -29,8 +29,8 @@ SAMPLE_PAGES, EPOCHS, RATE = 300, 6, 0.02
 PATHS, WORDS, MEASURES, WIDTH = 128, 32, 8, 16
 #: Share of training pages whose telling tags are hidden.
 HIDDEN = 0.15
-#: Blocks read at a time; a longer page is read in overlapping pieces.
-PIECE, OVERLAP = 2048, 256
+#: Blocks read at a time; in a longer page the states pass from piece to piece.
+PIECE = 2048
 
 #: Tags of HTML.
 BLOCK_TAGS = frozenset(
@@ -157,8 +157,12 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
-def features(blocks: list[Block], hidden: bool = False) -> np.ndarray:
-    """A row for each block: hashed path, all hashed words, measures."""
+def features(blocks: list[Block], hidden: bool = False, first: int = 0, count: int | None = None) -> np.ndarray:
+    """A row for each block: hashed path, all hashed words, measures.
+
+    The blocks may be a part of their page, which has ``count`` blocks, from block ``first`` on.
+    """
+    count = count or len(blocks)
     table = np.zeros((len(blocks), PATHS + WORDS + MEASURES), np.float32)
     slots: dict[tuple[str, ...], list[int]] = {}
     for k, block in enumerate(blocks):
@@ -173,7 +177,7 @@ def features(blocks: list[Block], hidden: bool = False) -> np.ndarray:
         stops = sum(block.text.count(c) for c in ".,;!?")
         table[k, PATHS + WORDS :] = (
             1, np.log1p(size) / 8, block.links / size, min(1, 10 * stops / size), block.text[-1] in ".!?", "\xa9" in block.text,
-            k / len(blocks), 1 - (k + 1) / len(blocks),
+            (first + k) / count, 1 - (first + k + 1) / count,
         )
     return table
 
@@ -244,12 +248,15 @@ class Lstm:
         self.bias = np.zeros(4 * width, np.float32)
         self.bias[width : 2 * width] = 1
 
-    def run(self, table: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step; where ``alive`` is 0 the state stays."""
+    def run(self, table: np.ndarray, alive: np.ndarray, keep: bool = False, carried: list | None = None) -> tuple[np.ndarray, list]:
+        """States after each step; where ``alive`` is 0 the state stays.
+
+        ``carried`` holds the state to begin with, if any, and then the last one.
+        """
         batch, steps, inputs = table.shape
         w = self.width
         into = table @ self.weights[:inputs] + self.bias
-        h = c = np.zeros((batch, w), np.float32)
+        h, c = carried or (np.zeros((batch, w), np.float32),) * 2
         out, tape = np.zeros((batch, steps, w), np.float32), []
         for t in range(steps):
             gates = into[:, t] + h @ self.weights[inputs:]
@@ -262,6 +269,8 @@ class Lstm:
                 tape.append((h, c, i, f, o, g, squashed, m))
             h, c = m * (o * squashed) + (1 - m) * h, m * fresh + (1 - m) * c
             out[:, t] = h
+        if carried is not None:
+            carried[:] = h, c
         return out, tape
 
     def back(self, table: np.ndarray, tape: list, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +323,22 @@ class Labeller:
         chance = _sigmoid(states @ self.output)
         return [chance[k, : len(table)] for k, table in enumerate(tables)]
 
+    def long_chances(self, blocks: list[Block]) -> np.ndarray:
+        """Probability of main text for each block of one page, read in pieces from both ends.
+
+        Of the whole page only one number a block is held beside the blocks.
+        """
+        ahead, behind = self.sides
+        inner = np.full(len(blocks), self.output[-1])
+        parts = _pieces(blocks)
+        for side, output, order, turn in ((ahead, self.output[:WIDTH], parts, 1), (behind, self.output[WIDTH : 2 * WIDTH], parts[::-1], -1)):
+            carried: list[np.ndarray] = []
+            for first, last, _, _ in order:
+                table = features(blocks[first:last], first=first, count=len(blocks))[None, ::turn]
+                states, _ = side.run(table, np.ones(table.shape[:2], np.float32), carried=carried)
+                inner[first:last] += states[0, ::turn] @ output
+        return _sigmoid(inner)
+
     def learn(self, tables: list[np.ndarray], labels: list[np.ndarray], moments: dict, step: int) -> None:
         """One Adam step on the cross entropy of a batch of pages."""
         stack, alive = self._padded(tables)
@@ -366,42 +391,26 @@ def train(pages: DataFrame) -> Labeller:
     return fit([r[0] for r in thin.orderBy(rank).limit(2 * SAMPLE_PAGES).toLocalIterator()])
 
 
-def _pieces(table: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(first, last, first to use, last to use) of overlapping pieces of a page."""
-    if len(table) <= PIECE:
-        return [(0, len(table), 0, len(table))]
-    found, step = [], PIECE - 2 * OVERLAP
-    for start in range(0, len(table), step):
-        first, last = max(0, start - OVERLAP), min(len(table), start + step + OVERLAP)
-        found.append((first, last, start, min(len(table), start + step)))
-    return found
+def _pieces(blocks: list[Block] | np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, last, first to use, last to use) of the pieces of a page."""
+    return [(k, stop, k, stop) for k in range(0, len(blocks), PIECE) for stop in [min(len(blocks), k + PIECE)]]
 
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     """Main text of each page: its main blocks in order, one on a line."""
     blocks = [blocks_of(html) for html in pages]
-    parts = []
-    for k, found in enumerate(blocks):
-        if found:
-            table = features(found)
-            parts += [(k, use, stop, first, table[first:last]) for first, last, use, stop in _pieces(table)]
-    kept: list[list[str]] = [[] for _ in pages]
-    chances: dict[int, np.ndarray] = {}
-    order = sorted(range(len(parts)), key=lambda p: len(parts[p][4]))
+    chances = [labeller.long_chances(b) if len(b) > PIECE else np.zeros(0) for b in blocks]
+    order = sorted((k for k, b in enumerate(blocks) if 0 < len(b) <= PIECE), key=lambda k: len(blocks[k]))
     at = 0
     while at < len(order):
-        longest, stop = 0, at
-        while stop < len(order) and (stop - at + 1) * max(longest, len(parts[order[stop]][4])) <= 16_384:
-            longest = max(longest, len(parts[order[stop]][4]))
+        stop = at + 1
+        # The longest of a batch is its last.
+        while stop < len(order) and (stop - at + 1) * len(blocks[order[stop]]) <= 16_384:
             stop += 1
-        stop = max(stop, at + 1)
-        for p, chance in zip(order[at:stop], labeller.chances([parts[p][4] for p in order[at:stop]]), strict=True):
-            chances[p] = chance
+        for k, chance in zip(order[at:stop], labeller.chances([features(blocks[k]) for k in order[at:stop]]), strict=True):
+            chances[k] = chance
         at = stop
-    for p, (k, use, stop, first, _) in enumerate(parts):
-        good = chances[p][use - first : stop - first] >= 0.5
-        kept[k] += [b.text for b, g in zip(blocks[k][use:stop], good, strict=True) if g]
-    return ["\n".join(t) for t in kept]
+    return ["\n".join(b.text for b, c in zip(blocks[k], chances[k], strict=True) if c >= 0.5) for k in range(len(pages))]
 
 
 def extracted(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:

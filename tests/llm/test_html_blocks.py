@@ -100,3 +100,27 @@ def test_whole_blocks_and_names_are_read():
     assert ".sidebar" in html_blocks.blocks_of(page)[0].path
     formula = "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, see <object data=\"a.pdf\">the paper</object>.</p>"
     assert html_blocks.blocks_of(formula)[0].text == "So x=1 holds, see the paper."
+
+
+def test_long_pages_are_read_as_one(labeller, monkeypatch):
+    """States pass from piece to piece: labels are those of the page read at once."""
+    rng = np.random.default_rng(5)
+    texts = ["Home", "A sentence, with words in it, that ends here.", "I liked it", "Terms 2020", "Then the council met, and it agreed.", "\xa9 Site"]
+    page = "".join(f"<{tag}>{texts[rng.integers(6)]}</{tag}>" for tag in rng.choice(["p", "div", "li", "h2"], 5000))
+    page = f'<div class="comments"><h3>Comments</h3>{page}</div>'
+    blocks = html_blocks.blocks_of(page)
+    whole = labeller.chances([html_blocks.features(blocks)])[0]
+    assert len(blocks) > 2 * html_blocks.PIECE
+    assert labeller.long_chances(blocks) == pytest.approx(whole, abs=1e-4)
+    expected = html_blocks.main_texts([page, None, "<p>x</p>"], labeller)
+    for piece in (7, 6000):
+        monkeypatch.setattr(html_blocks, "PIECE", piece)
+        assert html_blocks.main_texts([page, None, "<p>x</p>"], labeller) == expected
+    # What stands at the far end of the page reaches the other one.
+    monkeypatch.setattr(html_blocks, "PIECE", 16)
+    slow = html_blocks.Labeller()
+    for side in slow.sides:
+        side.bias[html_blocks.WIDTH : 2 * html_blocks.WIDTH] = 20
+    changed = html_blocks.blocks_of("<nav>Menu</nav>" + page[: len("<div class='comments'><h3>Comments</h3>")] + "<p>x</p>" * 300)
+    plain = html_blocks.blocks_of("<article>A long sentence, in words.</article>" + page[: len("<div class='comments'><h3>Comments</h3>")] + "<p>x</p>" * 300)
+    assert abs(slow.long_chances(changed)[-1] - slow.long_chances(plain)[-1]) > 1e-6
