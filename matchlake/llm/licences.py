@@ -3,12 +3,15 @@
 Every run of ``GRAM`` words of a document is hashed and joined to the places of the same run
 in licence templates. A match votes for a diagonal, the document's place less the template's.
 Votes are added by diagonal, neighbouring diagonals are merged (a word put in or left
-out shifts the rest), and a merged span stands if it holds enough of its template.
+out shifts the rest). The words of a merged span are aligned with the template's, and it
+stands if they hold enough of it and no word between them names another licence.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,13 @@ LEAST_SHARE, LEAST_RUNS = 0.6, 12
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: Words that make another licence of a notice, and pairs of words that are one of them.
+VARIANTS = frozenset(b"noncommercial sharealike noderivatives noderivs nc sa nd".split())
+VARIANT_PAIRS = {
+    (b"non", b"commercial"): b"noncommercial", (b"share", b"alike"): b"sharealike",
+    (b"no", b"derivatives"): b"noderivatives", (b"no", b"derivs"): b"noderivs",
+}
+
 #: Notices as their licences word them.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
@@ -62,10 +72,57 @@ def template_runs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "run bigint, template int, label string, place int, runs int")
 
 
+def _joined(words: list[bytes]) -> list[bytes]:
+    """The words with pairs that are one word made one; the second place becomes empty."""
+    words = list(words)
+    for k in range(len(words) - 1):
+        if one := VARIANT_PAIRS.get((words[k], words[k + 1])):
+            words[k : k + 2] = one, b""
+    return words
+
+
+def verified(words: list[bytes], template: list[bytes]) -> tuple[int, int, int] | None:
+    """(first word, last word, runs held) of the template in these words, if they quote it.
+
+    Words and template are aligned, so a place counts once. Neither may have a word of its own
+    that makes another licence: the template anywhere, the text between its outer runs.
+    """
+    blocks = [b for b in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if b.size]
+    held = [b for b in blocks if b.size >= GRAM]
+    if not held:
+        return None
+    # Single words around the runs may be any text's.
+    blocks = [b for b in blocks if held[0].a <= b.a <= held[-1].a]
+    for one, other in zip(blocks, blocks[1:], strict=False):
+        if not VARIANTS.isdisjoint(words[one.a + one.size : other.a]):
+            return None
+    aligned = {k for b in blocks for k in range(b.b, b.b + b.size)}
+    if any(word in VARIANTS for k, word in enumerate(template) if k not in aligned):
+        return None
+    return held[0].a, held[-1].a + held[-1].size - 1, sum(b.size - GRAM + 1 for b in held)
+
+
 def _row_key(doc_id: int | None, text: bytes | None) -> bytes:
     return xxhash.xxh3_128_digest(f"{doc_id}:".encode() + (text or b""))
 
 
+def _quoting(docs: DataFrame) -> DataFrame:
+    """(row_key, text): rows that hold a run of a template."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        known = np.concatenate([shingle_hashes(hashes.of(alnum_words(t.encode())), GRAM) for _, t in TEMPLATES])
+        for batch in pieces(batches):
+            rows = [
+                (_row_key(doc_id, text), text)
+                for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True)
+                if text and np.isin(shingle_hashes(hashes.of(alnum_words(text)), GRAM), known).any()
+            ]
+            columns = list(zip(*rows, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["row_key", "text"])
+
+    return docs.mapInArrow(run, "row_key binary, text binary")
+
+
 def _runs(docs: DataFrame) -> DataFrame:
     """(row_key, runs): hashes of all runs of each row that has any."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +176,7 @@ def _documents(documents: DataFrame) -> DataFrame:
 
 
 def licence_spans(documents: DataFrame) -> DataFrame:
-    """Verified spans: ``row_key``, ``label``, ``template``, ``first_word``, ``last_word``, ``share``."""
+    """Verified spans, once for equal rows: ``row_key``, ``label``, ``template``, ``first_word``, ``last_word``, ``share``."""
     docs = _documents(documents)
     runs = _runs(docs).select("row_key", F.posexplode("runs").alias("at", "run"))
     votes = (
@@ -136,18 +193,57 @@ def licence_spans(documents: DataFrame) -> DataFrame:
         votes.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(line))
         .groupBy("row_key", "template", "label", "runs", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("runs"))
-    compact = F.col("last") - F.col("first") < 2 * F.col("runs") + NEIGHBOURS
-    return spans.where(compact & ((share >= LEAST_SHARE) | (F.col("votes") >= LEAST_RUNS))).select(
-        "row_key",
-        "label",
-        "template",
-        F.col("first").cast("bigint").alias("first_word"),
-        (F.col("last") + GRAM - 1).cast("bigint").alias("last_word"),
-        share.alias("share"),
+        .agg(F.sum("votes").alias("votes"), F.sort_array(F.collect_list(F.struct("diagonal", "votes", "first", "last"))).alias("lines"))
     )
+    # Summed votes are at least the places that a span holds.
+    hopeful = spans.where((F.col("votes") >= LEAST_SHARE * F.col("runs")) | (F.col("votes") >= LEAST_RUNS))
+    chains = hopeful.groupBy("row_key").agg(F.collect_list(F.struct("template", "lines")).alias("chains"))
+    return _quoting(docs).join(chains, "row_key").mapInArrow(_verify, _SPANS).distinct()
+
+
+_SPANS = "row_key binary, label string, template int, first_word bigint, last_word bigint, share double"
+
+
+def _regions(lines: list[dict], runs: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of the words of a chain of diagonals; one that is not compact is cut.
+
+    It is cut around the diagonals with most votes, whose regions do not overlap.
+    """
+    first, last = min(v["first"] for v in lines), max(v["last"] for v in lines)
+    if last - first < 2 * runs + NEIGHBOURS:
+        yield first, last + GRAM
+        return
+    taken: list[int] = []
+    for line in sorted(lines, key=lambda v: (-v["votes"], v["diagonal"])):
+        middle = line["diagonal"]
+        at = bisect_left(taken, middle)
+        if any(abs(middle - other) < runs for other in taken[max(0, at - 1) : at + 1]):
+            continue
+        insort(taken, middle)
+        yield max(0, middle - NEIGHBOURS), middle + runs + GRAM - 1 + NEIGHBOURS
+
+
+def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the candidate chains whose words quote their templates."""
+    templates = [_joined(alnum_words(text.encode())) for _, text in TEMPLATES]
+    kinds = [pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+    names = ["row_key", "label", "template", "first_word", "last_word", "share"]
+    for batch in pieces(batches):
+        rows = []
+        for key, text, chains in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            words = _joined(alnum_words(text))
+            for chain in chains:
+                number = chain["template"]
+                runs = len(templates[number]) - GRAM + 1
+                for first, end in _regions(chain["lines"], runs):
+                    found = verified(words[first:end], templates[number])
+                    # The words beside the span, which the template has not, may also change it.
+                    if not found or not VARIANTS.isdisjoint([*words[max(0, first + found[0] - 1) : first + found[0]], *words[first + found[1] + 1 : first + found[1] + 2]]):
+                        continue
+                    if found[2] >= LEAST_SHARE * runs or found[2] >= LEAST_RUNS:
+                        rows.append((key, TEMPLATES[number][0], number, first + found[0], first + found[1], found[2] / runs))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def licences(documents: DataFrame) -> DataFrame:

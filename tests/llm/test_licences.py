@@ -54,3 +54,23 @@ def test_odd_rows(spark):
     assert [r.labels for r in found if r.doc_id is None and r.n_base] == ["apache"]
     assert all(base(r) == (0, 0, None, None, "") and r.score == 0 for r in found if r.doc_id in (1, 2, 3))
     assert licences.licences(documents(spark, [])).collect() == []
+
+
+def test_spans_are_verified(spark):
+    notice = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    mit = licences.TEMPLATES[1][1]
+    drift = "the software to deal in " * 12
+    kinds = ["", "-NonCommercial", "-ShareAlike", "-NonCommercial-ShareAlike", "-NoDerivatives", "-Non-Commercial"]
+    rows = [(k, f"Text. {notice.format(kind)}. More text.") for k, kind in enumerate(kinds)]
+    rows += [(6, notice.format("") + " and " + notice.format("-ShareAlike")), (7, "CC: Licensed under CC BY-NC-SA 4.0.")]
+    rows += [(8, f"{drift} {mit} {drift}"), (9, "of the software " * 200)]
+    found = {r.doc_id: r.labels for r in licences.licences(documents(spark, rows)).collect()}
+    assert found == {0: "cc-by", 1: "cc-by-nc", 2: "cc-by-sa", 3: "", 4: "", 5: "cc-by-nc", 6: "cc-by,cc-by-sa", 7: "", 8: "mit", 9: ""}
+
+
+def test_chains_that_are_not_compact_are_cut():
+    line = lambda d, votes: {"diagonal": d, "votes": votes, "first": d, "last": d + 9}
+    far = [line(d, 1) for d in range(0, 100, 3)] + [line(50, 10)]
+    regions = list(licences._regions(sorted(far, key=lambda v: v["diagonal"]), 10))
+    assert regions[0] == (47, 65) and len(regions) > 5
+    assert list(licences._regions([line(5, 8), line(6, 2)], 10)) == [(5, 18)]
