@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, html_blocks, licences, mixing, neardup, pii, rules, suffix_tree, topk
+from . import archives, decontaminate, html_blocks, licences, mixing, neardup, outliers, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_table(spark, folder, "documents"))
 
 
+def op13_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Base quality rules and robust outliers within each language and source."""
+    return outliers.outliers(_table(spark, folder, "documents")).drop("distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
@@ -75,7 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
+    "op13_quality_outliers": op13_quality_outliers,
 }
 
 #: SQL that gives the same rows; queries without one are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_nearest": topk.SQL, "op7_archives": archives.SQL, "op10_mixture": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_nearest": topk.SQL,
+    "op7_archives": archives.SQL,
+    "op10_mixture": mixing.sql(),
+    "op13_quality_outliers": outliers.sql(),
+}
