@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, html_blocks, licences, mixing, neardup, outliers, pii, rules, suffix_tree, topk
+from . import archives, conversations, decontaminate, html_blocks, licences, mixing, neardup, outliers, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_table(spark, folder, "documents"))
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of each damaged conversation and its cheapest repair."""
+    table = _table(spark, folder, "conversations")
+    return conversations.audited(table, conversations.damaged(table))
+
+
 def op13_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     """Base quality rules and robust outliers within each language and source."""
     return outliers.outliers(_table(spark, folder, "documents")).drop("distance")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
+    "op12_conversations": op12_conversations,
     "op13_quality_outliers": op13_quality_outliers,
 }
 
@@ -88,5 +95,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_nearest": topk.SQL,
     "op7_archives": archives.SQL,
     "op10_mixture": mixing.sql(),
+    "op12_conversations": conversations.SQL,
     "op13_quality_outliers": outliers.sql(),
 }
