@@ -95,7 +95,7 @@ def _step(costs: tuple[int, ...], initial: int, fault: int) -> tuple[tuple[int,
     return tuple(c - smallest for c, _ in later), sum(edit << 2 * state for state, (_, edit) in enumerate(later))
 
 
-def _pointers(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pointers(schema: pa.Schema, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (conv_id, position, signs), last position first, to chunks of one byte a row in forward order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _pointers(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 costs, edits = found
                 held.append(edits)
                 first = position
-                if len(held) == CHUNK:
+                if len(held) == chunk:
                     flush()
             if ready:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready, strict=True), schema, strict=True)], schema=schema)
@@ -201,7 +201,7 @@ def _arrow(*fields: tuple[str, str], like: DataFrame) -> tuple[str, pa.Schema]:
     return ", ".join(f"{n} {k}" for n, k in kinds), pa.schema([(n, to_arrow_type(_parse_datatype_string(k))) for n, k in kinds])
 
 
-def repaired(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repaired(rows: DataFrame, scratch: Scratch | None = None, chunk: int = CHUNK) -> DataFrame:
     """Edits of ``examined`` rows: ``conv_id``, ``step`` from 1, ``edit``, ``cost``, ``turn``, ``role``, ``text``.
 
     ``edit`` is K (keep), R (new role), D (delete) or I (insert, with an empty text and no turn);
@@ -216,7 +216,7 @@ def repaired(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     signs = (initial + 4 * F.when(F.col("fault") == "truncated", 2).when(F.col("fault").isNotNull(), 1).otherwise(0)).cast("int").alias("signs")
     narrow = rows.select("conv_id", "position", signs).repartition("conv_id").sortWithinPartitions("conv_id", F.desc("position"))
     kinds, schema = _arrow(("position", "bigint"), ("pointers", "binary"), like=rows)
-    chunks = scratch.write(narrow.mapInArrow(_pointers(schema), kinds), "pointers")
+    chunks = scratch.write(narrow.mapInArrow(_pointers(schema, chunk), kinds), "pointers")
     full = rows.select("conv_id", "position", F.lit(None).cast("binary").alias("pointers"), "turn", "role", "text", signs, F.lit(1).alias("kind"))
     both = full.unionByName(chunks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     ordered = both.repartition("conv_id").sortWithinPartitions("conv_id", "position", "kind").drop("kind")
@@ -262,7 +262,7 @@ def digested(edits: DataFrame) -> DataFrame:
 FAULTS = ("blank", "duplicate", "truncated")
 
 
-def audited(conversations: DataFrame, rows: DataFrame) -> DataFrame:
+def audited(conversations: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Faults and the cheapest repair of each conversation of ``conversations``, its rows being ``rows``.
 
     One row for every distinct ``conv_id``, null among them. A conversation without rows has no
@@ -273,7 +273,7 @@ def audited(conversations: DataFrame, rows: DataFrame) -> DataFrame:
     """
     scratch = Scratch(conversations.sparkSession, "repair")
     rows = scratch.write(examined(rows), "examined")
-    digests = digested(repaired(rows, scratch))
+    digests = digested(repaired(rows, scratch, chunk))
     number = lambda condition: F.sum(condition.cast("bigint"))
     counts = rows.groupBy("conv_id").agg(
         (F.max("turn") - F.min("turn") + 1 - number(F.col("new_turn"))).alias("gaps"),

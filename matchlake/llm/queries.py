@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, conversations, decontaminate, html_blocks, licences, mixing, neardup, outliers, pii, rules, suffix_tree, topk
+from . import alignment, archives, conversations, decontaminate, html_blocks, licences, mixing, neardup, outliers, pii, rules, suffix_tree, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in each document."""
+    return alignment.aligned(_table(spark, folder, "documents"))
+
+
 def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Faults of each damaged conversation and its cheapest repair."""
     table = _table(spark, folder, "conversations")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_mixture": op10_mixture,
+    "op11_token_alignment": op11_token_alignment,
     "op12_conversations": op12_conversations,
     "op13_quality_outliers": op13_quality_outliers,
 }

@@ -114,14 +114,14 @@ def test_damage_faults_and_edge_cases(spark):
             assert (found[conv].cost, found[conv].audit, found[conv].repaired_sha256) == brute(left)
 
 
-def test_giant_conversation_passes_chunks(spark, monkeypatch):
+def test_giant_conversation_passes_chunks(spark):
     """The same repair whatever the chunk, and one that meets the grammar at the cost it says."""
     rng = random.Random(3)
     roles = [rng.choice(["user", "assistant", "system"]) for _ in range(9_000)]
     rows = [(1, i, r, f"Text {i}." if i % 7 else "cut") for i, r in enumerate(roles)] + [(2, 0, "user", "Hi.")]
     whole = audit(spark, rows, damage=False)
-    monkeypatch.setattr(repair, "CHUNK", 64)
-    assert audit(spark, rows, damage=False) == whole
+    given = frame(spark, rows)
+    assert {r.conv_id: r for r in repair.audited(given, given, chunk=64).collect()} == whole
     edits = sorted(repair.repaired(repair.examined(frame(spark, rows))).where("conv_id = 1").collect(), key=lambda r: r.step)
     assert [e.step for e in edits] == list(range(1, len(edits) + 1))
     assert re.fullmatch("(s?(ua)+)?", "".join(e.role[0] for e in edits if e.edit != "D"))
