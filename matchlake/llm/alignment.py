@@ -57,14 +57,14 @@ class Vocabularies:
         return {"byte_level": self.byte_level, "pieces": self.pieces, "_loaded": ()}
 
     def load(self) -> tuple:
-        """(encode A, encode B, bytes of A's tokens, bytes of B's tokens)."""
+        """(encode A, encode B, A's tokens as bytes, B's)."""
         if not self._loaded:
             self._loaded = (*_byte_level(self.byte_level), *_pieces(self.pieces))
             self._loaded = tuple(self._loaded[i] for i in (0, 2, 1, 3))
         return self._loaded
 
 
-def _byte_level(content: bytes) -> tuple[Callable[[str], list[int]], list[bytes]]:
+def _byte_level(content: bytes) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """Encoder and token bytes of a byte-level vocabulary; its ids are the order of merges."""
     import tiktoken
 
@@ -77,7 +77,9 @@ def _byte_level(content: bytes) -> tuple[Callable[[str], list[int]], list[bytes]
         raise ValueError("the ids of this vocabulary do not follow its merges")
     ranks = {bytes(map(letters.__getitem__, token)): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
     encoding = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary, [token for token, _ in sorted(ranks.items(), key=lambda r: r[1])]
+    # No string is special to this encoding, so that all of a text is ordinary.
+    encode = lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+    return encode, [token for token, _ in sorted(ranks.items(), key=lambda r: r[1])]
 
 
 def _pieces(content: bytes) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
@@ -96,26 +98,33 @@ def _lengths(tokens: list[bytes]) -> np.ndarray:
 
 def links(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """End and id pair of every link: of two tokens that overlap, one begins where the stretch they share begins."""
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs, merged in linear time
+    ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
     pair = a[np.searchsorted(a_ends, ends)] * WIDTH + b[np.searchsorted(b_ends, ends)]
     return ends, pair
 
 
-_WRITTEN: list[bytes] = []
+_WRITTEN: dict[int, np.ndarray] = {}
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> list[bytes]:
+def _written(ids: int) -> np.ndarray:
+    """Every id with each sign after it, padded with zero bytes."""
+    if not ids <= max(_WRITTEN, default=0):
+        _WRITTEN.clear()
+        _WRITTEN[ids] = np.array([b"%d%c" % (i, sign) for i in range(ids) for sign in b",|;"])
+    return next(iter(_WRITTEN.values()))
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, common: np.ndarray) -> bytes:
     """Ids with the sign after each, ``,`` in a run, ``|`` after A's and ``;`` after B's, group by group."""
     ids = int(max(a.max(initial=0), b.max(initial=0))) + 1
-    if len(_WRITTEN) < 3 * ids:
-        _WRITTEN[:] = [b"%d%c" % (i, sign) for i in range(ids) for sign in b",|;"]
     a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     a_before = np.concatenate([[0], np.cumsum(np.bincount(a_group, minlength=len(common)))])
     b_before = np.concatenate([[0], np.cumsum(np.bincount(b_group, minlength=len(common)))])
     out = np.empty(len(a) + len(b), np.int64)
-    out[np.arange(len(a)) + b_before[a_group]] = 3 * a + np.isin(a_ends, common, assume_unique=True)
-    out[np.arange(len(b)) + a_before[b_group + 1]] = 3 * b + 2 * np.isin(b_ends, common, assume_unique=True)
-    return list(map(_WRITTEN.__getitem__, out.tolist()))
+    out[np.arange(len(a)) + b_before[a_group]] = 3 * a + (common[a_group] == a_ends)
+    out[np.arange(len(b)) + a_before[b_group + 1]] = 3 * b + 2 * (common[b_group] == b_ends)
+    return _written(-(-ids // 65_536) * 65_536)[out].tobytes().translate(None, b"\0")
 
 
 @dataclass
@@ -139,7 +148,7 @@ class Fragment:
         i, j = (np.searchsorted(e, common[0], side="right") for e in (a_ends, b_ends))
         k, m = (np.searchsorted(e, common[-1], side="right") for e in (a_ends, b_ends))
         inner = a[i:k], b[j:m], a_ends[i:k], b_ends[j:m]
-        text = b"".join(groups_text(*inner, common[1:]))
+        text = groups_text(*inner, common[1:])
         return cls((a[:i], b[:j]), True, len(common) - 1, text, links(*inner)[1], (a[k:], b[m:]))
 
     def then(self, other: Fragment, sizes: tuple[np.ndarray, np.ndarray]) -> Fragment:
@@ -168,7 +177,7 @@ def _joined(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
 def _closed(group: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray]:
     """Text and links of one group."""
     a_ends, b_ends = np.cumsum(sizes[0][group[0]]), np.cumsum(sizes[1][group[1]])
-    return b"".join(groups_text(*group, a_ends, b_ends, a_ends[-1:])), links(*group, a_ends, b_ends)[1]
+    return groups_text(*group, a_ends, b_ends, a_ends[-1:]), links(*group, a_ends, b_ends)[1]
 
 
 #: Rows of three kinds: the tokens of one chunk of a long text; an aligned text with its links by place
@@ -222,12 +231,14 @@ def _block(block: int, texts: list[dict], pairs: list[np.ndarray]) -> list[dict]
 def _encoded(texts: list[str], vocabularies: Vocabularies) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """Ids of A and B; none where either's bytes are not a space and the text."""
     a_of, b_of, a_bytes, b_bytes = vocabularies.load()
+    a_sizes = _lengths(a_bytes)
     result = []
     for text, b in zip(texts, b_of(texts), strict=True):
         whole = f" {text}".encode()
         a = a_of(f" {text}")
-        same = b"".join(map(a_bytes.__getitem__, a)) == whole == b"".join(map(b_bytes.__getitem__, b))
-        result.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
+        # A's tokens are bytes of the text in order: they are all of it if none is missing.
+        same = int(a_sizes[a].sum()) == len(whole) and b"".join(map(b_bytes.__getitem__, b)) == whole
+        result.append((a, np.array(b, np.int64)) if same else None)
     return result
 
 
@@ -236,7 +247,7 @@ def _aligner(vocabularies: Vocabularies, longest: int, block: int) -> Callable[[
     schema = _schema(_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:])
+        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:4])
         number = TaskContext.get().partitionId() << 32
         texts: list[dict] = []
         pairs: list[np.ndarray] = []
@@ -307,7 +318,7 @@ def _fragments(vocabularies: Vocabularies) -> Callable[[Iterator[pa.RecordBatch]
     schema = _schema(_PART)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_size, b_size = (_lengths(t) for t in vocabularies.load()[2:])
+        a_size, b_size = (_lengths(t) for t in vocabularies.load()[2:4])
         for batch in pieces(batches, 50):
             rows = []
             for row in batch.to_pylist():
@@ -325,7 +336,7 @@ def _composed(vocabularies: Vocabularies, fan_in: int) -> Callable[[pa.Table], p
     schema = _schema(_PART)
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:])
+        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:4])
         rows = table.sort_by("chunk").to_pylist()
         whole = _fragment(rows[0])
         for row in rows[1:]:
@@ -342,7 +353,7 @@ def _finished(vocabularies: Vocabularies) -> Callable[[Iterator[pa.RecordBatch]]
     schema = _schema(_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:])
+        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:4])
         for batch in pieces(batches, 20):
             rows = []
             for row in batch.to_pylist():
@@ -437,7 +448,7 @@ def grouped(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     vocabularies = Vocabularies.read(folder)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:])
+        sizes = tuple(_lengths(t) for t in vocabularies.load()[2:4])
         for batch in pieces(batches, 100):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             coded = iter(_encoded([t for t in texts if t], vocabularies))
