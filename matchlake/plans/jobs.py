@@ -5,8 +5,8 @@
 The arguments of a job are the parameters of its function below. A ``Table`` is a
 parquet path, ``Cells`` one of stored cells, ``Lines`` a path of text lines, ``Document``
 a JSON file. ``Triples`` are a parquet path, or comma-separated text behind ``csv:``.
-Results are written as parquet, as CSV, as ``by_day`` folders of matches, as ``cells``
-in a folder for each qualifier, or as ``key_value`` lines of their first two columns.
+Results are written as parquet, as CSV, as ``by_day`` folders of matches, as folders ``by_outcome``
+of an import, as ``cells`` in a folder for each qualifier, or as ``key_value`` lines of their first two columns.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ Lines = NewType("Lines", DataFrame)
 Document = NewType("Document", DataFrame)
 Names = NewType("Names", list)
 
-FORMATS = ("parquet", "csv", "csv_header", "by_day", "cells", "key_value")
+FORMATS = ("parquet", "csv", "csv_header", "by_day", "by_outcome", "cells", "key_value")
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -72,6 +72,17 @@ def good_matches(lines: Lines) -> DataFrame:
     return ingest.to_matches(ingest.parse_good_lines(lines))
 
 
+@job
+def import_lines(lines: Lines) -> DataFrame:
+    """Matches and malformed lines, for the ``by_outcome`` format."""
+    return ingest.import_rows(lines)
+
+
+@job
+def quarantine(lines: Lines) -> DataFrame:
+    return ingest.malformed(lines)
+
+
 @job
 def count_malformed(lines: Lines) -> DataFrame:
     return ingest.count_malformed(lines)
@@ -366,6 +377,8 @@ def _write(result: DataFrame, output: str, kind: str) -> None:
         result.write.mode("errorifexists").parquet(output)
     elif kind == "by_day":
         files.write_matches(result, output)
+    elif kind == "by_outcome":
+        result.write.mode("errorifexists").partitionBy("good").parquet(output)
     elif kind == "cells":
         cells.write(result, output)
     elif kind == "key_value":

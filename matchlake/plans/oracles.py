@@ -401,6 +401,10 @@ FROM mt JOIN mp USING (match_id) WHERE mt.match_id % 50 < 46 GROUP BY mt.match_i
     "malformed_lines": """
 SELECT count(*) FILTER (match_id % 50 < 46) AS good_lines, count(*) FILTER (match_id % 50 >= 46) AS malformed_lines
 FROM mt""",
+    "quarantined_lines": """
+SELECT CASE WHEN match_id % 50 NOT IN (46, 49) THEN match_id END AS match_id,
+  CASE match_id % 50 WHEN 46 THEN 'blank' WHEN 45 THEN 'several records' WHEN 44 THEN 'not a record' ELSE 'not JSON' END AS reason
+FROM mt WHERE match_id % 50 >= 43""",
     "hero_names": "SELECT DISTINCT hero_id, 'hero_' || hero_id AS name FROM mp",
     # classification and derived values
     "real_match": "SELECT match_id, CAST(0 AS BIGINT) AS ts, real_match FROM rm",

@@ -142,6 +142,14 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.count_malformed(source.corrupt_some(_lines(spark, sf_dir)))
 
 
+@query
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.malformed(source.corrupt_more(_lines(spark, sf_dir)))
+    match_id = F.regexp_extract("line", r'"match_id":(\d+)', 1)
+    known = F.when(match_id != "", match_id).cast("long")
+    return rows.select(known.alias("match_id"), "reason")
+
+
 @query
 def hero_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimensions.hero_names(source.hero_document(spark, sf_dir))

@@ -79,7 +79,7 @@ CELLS = _struct(("entity", LONG), ("qualifier", STRING), ("ts", LONG), ("value",
 TRIPLES = _struct(("index", LONG), ("vec", INT), ("val", DOUBLE), ("size", LONG))
 
 # Field names of the published raw records. ``additional_units`` is an object in
-# some records and a list in others, so it is first read as text.
+# some records and a list in others, so it is first read as a variant.
 ITEM_FIELDS = [f"item_{i}" for i in range(6)]
 
 RAW_UNIT = _struct(("unitname", STRING), *((name, INT) for name in ITEM_FIELDS))
@@ -105,7 +105,7 @@ RAW_PLAYER = _struct(
     ("hero_healing", INT),
     ("level", INT),
     ("ability_upgrades", T.ArrayType(RAW_ABILITY)),
-    ("additional_units", STRING),
+    ("additional_units", T.VariantType()),
 )
 
 RAW_MATCH = _struct(

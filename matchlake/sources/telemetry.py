@@ -213,6 +213,15 @@ def corrupt_some(lines: DataFrame) -> DataFrame:
     return lines.select(damaged.otherwise(value).alias("value"))
 
 
+def corrupt_more(lines: DataFrame) -> DataFrame:
+    """As ``corrupt_some``; some others are lists, two records in a row, or name a key twice."""
+    match_id = F.regexp_extract("value", r'"match_id":(\d+)', 1).cast("long")
+    value, kind = F.col("value"), match_id % 50
+    damaged = F.when(kind == 45, F.concat(value, F.lit(","), value)).when(kind == 44, F.concat(F.lit("["), value, F.lit("]")))
+    damaged = damaged.when(kind == 43, F.regexp_replace(value, "\\}$", ',"match_id":0}'))
+    return corrupt_some(lines.select(damaged.otherwise(value).alias("value")))
+
+
 def hero_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hero list as one JSON document."""
     heroes = match_players(spark, sf_dir, ("hero_id",)).select("hero_id").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from matchlake import schemas
 from matchlake.functions import fixed_values as fixed
 from matchlake.functions import values
-from matchlake.operators import decode, ingest, quality, skill
+from matchlake.operators import classify, decode, ingest, quality, skill
 from matchlake.plans import jobs
 from matchlake.sources import cells, dimensions, files, telemetry
 from matchlake.streaming.ingest_stream import import_new_files
@@ -81,6 +81,46 @@ def test_malformed_lines(spark):
             ingest.ingest_matches(as_lines(spark, line)).collect()
 
 
+def test_quarantine_keeps_lines_with_reasons(spark, tmp_path):
+    good = json.dumps(raw_match(1, [raw_player(0, 5)]))
+    bad = {
+        good[: len(good) // 2]: "not JSON", good + good: "not JSON", good + " x": "not JSON", '{"match_id":1,"match_id":2}': "not JSON",
+        good + "," + good: "several records", f"[{good}]": "not a record", "7": "not a record", "null": "not a record", "": "blank", "  ": "blank",
+    }
+    (tmp_path / "raw").mkdir()
+    for i in range(2):
+        (tmp_path / "raw" / f"matches_{i}.json").write_text("\n".join([good, *bad]) + "\n")
+    lines = files.read_lines(spark, str(tmp_path / "raw"))
+    found = ingest.malformed(lines).collect()
+    assert sorted((r.file[-6], r.line, r.reason) for r in found) == sorted((str(i), *b) for i in range(2) for b in bad.items())
+
+    counts = ingest.import_lines(lines, str(tmp_path / "table"))
+    assert counts["good_lines"] == 2 and counts["malformed_lines"] == 2 * len(bad)
+    matches = ingest.imported(spark, str(tmp_path / "table"))
+    expected = ingest.to_matches(ingest.parse_good_lines(lines))
+    assert matches.columns == expected.columns
+    assert sorted(map(str, matches.collect())) == sorted(map(str, expected.collect()))
+    status = [r.real_match for r in classify.real_matches(expected).collect()]
+    assert sum(counts[n] for n in ("abandoned", "safe_leave", "all_stayed")) == len(status)
+    kept = ingest.quarantine(spark, str(tmp_path / "table")).collect()
+    assert sorted((r.file, r.line, r.reason) for r in kept) == sorted((r.file, r.line, r.reason) for r in found)
+
+
+def test_values_of_other_types(spark):
+    """Converted as by a cast; what cannot be is null where malformed lines are tolerated, and else an error."""
+    line = json.dumps(raw_match(1, [], duration="12", season=3.0, cluster=99999999999, radiant_win="maybe"))
+    row = ingest.parse_good_lines(as_lines(spark, line)).first()
+    assert (row.duration, row.season, row.cluster, row.radiant_win) == (12, 3, None, None)
+    with pytest.raises(Exception, match="INVALID_VARIANT_CAST"):
+        ingest.parse_lines(as_lines(spark, line)).collect()
+
+
+@pytest.mark.parametrize("read", ["ingest_matches", "parse_good_lines", "count_malformed", "malformed", "import_rows"])
+def test_a_line_is_parsed_once(spark, read):
+    plan = getattr(ingest, read)(as_lines(spark, raw_match(1, [])))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") + plan.count("from_json") == 1, plan
+
+
 def test_gzip_csv_and_text_files(spark, tmp_path):
     path = tmp_path / "matches_0-30.gz"
     with gzip.open(path, "wt") as out:
