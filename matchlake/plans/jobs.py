@@ -3,10 +3,10 @@
     spark-submit -m matchlake hero_win_rates --matches <parquet> --interval 10800 --output <path>
 
 The arguments of a job are the parameters of its function below. A ``Table`` is a
-parquet path, ``Cells`` one of stored cells, ``Lines`` a path of text lines, ``Document``
+parquet path, ``Cells`` one of stored cells (behind ``store:`` a store that takes puts), ``Lines`` a path of text lines, ``Document``
 a JSON file. ``Triples`` are a parquet path, or comma-separated text behind ``csv:``.
 Results are written as parquet, as CSV, as ``by_day`` folders of matches, as folders ``by_outcome``
-of an import, as ``cells`` in a folder for each qualifier, or as ``key_value`` lines of their first two columns.
+of an import, as ``cells`` in a folder for each qualifier, as puts into a ``cell_store``, or as ``key_value`` lines of their first two columns.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from ..operators import (
 )
 from ..schemas import narrow_raw_match
 from ..session import STARTUP_CONF, configure
-from ..sources import cells, dimensions, files
+from ..sources import cell_store, cells, dimensions, files
 from . import chains
 
 Table = NewType("Table", DataFrame)
@@ -44,7 +44,7 @@ Lines = NewType("Lines", DataFrame)
 Document = NewType("Document", DataFrame)
 Names = NewType("Names", list)
 
-FORMATS = ("parquet", "csv", "csv_header", "by_day", "by_outcome", "cells", "key_value")
+FORMATS = ("parquet", "csv", "csv_header", "by_day", "by_outcome", "cells", "cell_store", "key_value")
 
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -367,6 +367,11 @@ def decode_players(matches: Table, heroes: Table, items: Table) -> DataFrame:
 # --- running ----------------------------------------------------------------------------
 
 
+def _cells(spark: SparkSession, path: str) -> DataFrame:
+    stored = path.removeprefix("store:")
+    return cells.read(spark, path) if stored == path else cell_store.CellStore(spark, stored).read()
+
+
 def _triples(spark: SparkSession, path: str) -> DataFrame:
     text = path.removeprefix("csv:")
     return spark.read.parquet(path) if text == path else files.read_triples(spark, text)
@@ -381,6 +386,8 @@ def _write(result: DataFrame, output: str, kind: str) -> None:
         result.write.mode("errorifexists").partitionBy("good").parquet(output)
     elif kind == "cells":
         cells.write(result, output)
+    elif kind == "cell_store":
+        cell_store.CellStore(result.sparkSession, output).put(result)
     elif kind == "key_value":
         files.write_key_values(result, *result.columns[:2], output)
     else:
@@ -391,7 +398,7 @@ def _reader(kind: object, spark: SparkSession) -> Callable[[str], object]:
     if kind is Table:
         return spark.read.parquet
     if kind is Cells:
-        return lambda path: cells.read(spark, path)
+        return lambda path: _cells(spark, path)
     if kind is Triples:
         return lambda path: _triples(spark, path)
     if kind is Lines:

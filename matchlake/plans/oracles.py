@@ -376,6 +376,15 @@ def _flags(side: str) -> str:
     )
 
 
+_UPSERT = f"""
+SELECT account_id AS entity, qualifier, ts, {_tidy('arg_max(value, (put, value))')} AS value
+FROM (
+  SELECT account_id, qualifier, ts, value, 0 AS put FROM moved
+  UNION ALL
+  SELECT account_id, qualifier, CASE WHEN account_id % 2 = 1 THEN ts ELSE ts + 1 END, value + 10, 1
+  FROM moved WHERE qualifier = 'real_match'
+) GROUP BY account_id, qualifier, ts"""
+
 _BODIES: dict[str, str] = {
     # ingest
     "ingest_matches": f"""
@@ -431,14 +440,8 @@ FROM derived JOIN mt USING (match_id)""",
     "latest_cells": f"""
 SELECT account_id AS entity, qualifier, max(ts) AS ts, {_tidy('arg_max(value, ts)')} AS value
 FROM moved GROUP BY account_id, qualifier""",
-    "upsert_cells": f"""
-SELECT account_id AS entity, qualifier, ts, {_tidy('arg_max(value, (put, value))')} AS value
-FROM (
-  SELECT account_id, qualifier, ts, value, 0 AS put FROM moved
-  UNION ALL
-  SELECT account_id, qualifier, CASE WHEN account_id % 2 = 1 THEN ts ELSE ts + 1 END, value + 10, 1
-  FROM moved WHERE qualifier = 'real_match'
-) GROUP BY account_id, qualifier, ts""",
+    "upsert_cells": _UPSERT,
+    "stored_cells": _UPSERT,
     "hero_cells": f"""
 , {_rates("r", q.DAY)}
 SELECT CAST(hero_id AS BIGINT) AS entity, 'games_played_{q.DAY}' AS qualifier, slot_ms AS ts,

@@ -6,6 +6,7 @@ doubles rounded, so that they compare with the SQL of :mod:`.oracles`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,8 @@ from ..operators import (
     skill,
     timeline,
 )
-from ..sources import cells, dimensions
+from ..session import shared_folder
+from ..sources import cell_store, cells, dimensions
 from ..sources import telemetry as source
 from . import chains
 
@@ -202,17 +204,33 @@ def latest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cells.latest(_player_cells(spark, sf_dir)), "value")
 
 
-@query
-def upsert_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _player_cells(spark, sf_dir)
-    puts = cells.matching(stored, "real_match").select(
+def _puts(stored: DataFrame) -> DataFrame:
+    return cells.matching(stored, "real_match").select(
         "entity",
         "qualifier",
         # Odd entities are overwritten, even ones get a new version.
         F.when(F.col("entity") % 2 == 1, F.col("ts")).otherwise(F.col("ts") + 1).alias("ts"),
         (F.col("value") + 10).alias("value"),
     )
-    return _rounded(cells.upsert(stored, puts), "value")
+
+
+@query
+def upsert_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _player_cells(spark, sf_dir)
+    return _rounded(cells.upsert(stored, _puts(stored)), "value")
+
+
+@query
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = cell_store.CellStore(spark, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}", buckets=4)
+    cells_now = _player_cells(spark, sf_dir)
+    store.put(cells_now)
+    # The same puts as in ``upsert_cells``, in two batches with a compaction between.
+    puts = _puts(cells_now)
+    store.put(puts.where("entity % 2 = 0"))
+    store.compact()
+    store.put(puts.where("entity % 2 <> 0"))
+    return _rounded(store.read(), "value")
 
 
 @query
