@@ -37,10 +37,16 @@ class Segmented:
     large_rows: DataFrame
     keys: tuple[str, ...]
     order: str
+    ties: tuple[str, ...] = ()
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, SEGMENT).orderBy(self.order)
+        return Window.partitionBy(*self.keys, SEGMENT).orderBy(self.order, *self.ties)
+
+    @property
+    def place(self) -> Column:
+        """What rows of a segment are ordered by, as one value."""
+        return F.struct(self.order, *self.ties)
 
     @property
     def over_segments(self) -> WindowSpec:
@@ -93,16 +99,17 @@ def split(
     order: str,
     min_rows: int = MIN_ROWS,
     max_share: int = MAX_SHARE,
+    ties: tuple[str, ...] = (),
 ) -> Segmented:
     """Cut the large keys of ``df`` along ``order``, an integer column.
 
-    Equal values of ``order`` stay in one segment.
+    Equal values of ``order`` stay in one segment, where ``ties`` order them.
     """
     spark = df.sparkSession
     rows = df.withColumn(SEGMENT, F.lit(0).cast("long"))
     large, limit = _large_keys(df, keys, order, min_rows, max_share)
     if not large:
-        return Segmented(rows, rows.where(F.lit(False)), keys, order)
+        return Segmented(rows, rows.where(F.lit(False)), keys, order, ties)
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     names = spark.createDataFrame([tuple(row[k] for k in keys) for row in large], types)
@@ -120,7 +127,7 @@ def split(
         # As many as there are shares at most; a single value cannot be cut.
         crowded = counted.where((F.col("n") > limit) & (F.col("high") > F.col("low")))
         dense = [row.asDict() for row in crowded.collect()]
-    return Segmented(rows, rows.join(F.broadcast(names), list(keys)), keys, order)
+    return Segmented(rows, rows.join(F.broadcast(names), list(keys)), keys, order, ties)
 
 
 def before(window: WindowSpec) -> WindowSpec:

@@ -1,7 +1,8 @@
 """Order-sensitive analyses of player timelines: streaks, sliding and grouped win rates.
 
-Timelines have one row per (account_id, ``order``), with ``win`` and the
-match's ``real_match`` status. Oldest games come first.
+Timelines have one row per game of an ``account_id``, with ``win`` and the match's
+``real_match`` status. Oldest games come first; games at one ``order`` come by ``match_id``,
+where the timeline has it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from .segments import SEGMENT, before, split, up_to
 PLAYER = ("account_id",)
 
 
-def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
+def _ties(timeline: DataFrame) -> tuple[str, ...]:
+    return ("match_id",) if "match_id" in timeline.columns else ()
+
+
+def signed_streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
     """Games with real_match >= 2 and the signed streak each is entered with.
 
     A streak is the distance to the last change between a win and a loss, so it
@@ -23,7 +28,8 @@ def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
     change points. ``game_no`` counts all games of the player, ``real_no`` the
     real ones. Other games neither break nor extend a streak.
     """
-    cut = split(timeline.select(*PLAYER, order, "win", "real_match"), PLAYER, order, **sizes)
+    ties = _ties(timeline)
+    cut = split(timeline.select(*PLAYER, order, *ties, "win", "real_match"), PLAYER, order, ties=ties, **sizes)
 
     def local(rows: DataFrame) -> DataFrame:
         w = cut.window
@@ -46,14 +52,14 @@ def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
         )
 
     # Per segment of a large player: what later segments must know.
-    last_real = F.max_by("win", F.when(F.col("real"), F.col(order)))
+    last_real = F.max_by("win", F.when(F.col("real"), cut.place))
     summary = (
         local(cut.large_rows)
         .groupBy(*PLAYER, SEGMENT)
         .agg(
             F.count("*").alias("games"),
             F.count_if("real").alias("reals"),
-            F.min_by("win", F.when(F.col("real"), F.col(order))).alias("first_win"),
+            F.min_by("win", F.when(F.col("real"), cut.place)).alias("first_win"),
             last_real.alias("last_win"),
             F.max("local_turn").alias("last_turn"),
         )
@@ -98,6 +104,7 @@ def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
     return rows.select(
         *PLAYER,
         order,
+        *ties,
         "win",
         (games_before + F.col("local_game")).alias("game_no"),
         real_no.alias("real_no"),
@@ -107,13 +114,13 @@ def _streaks(timeline: DataFrame, order: str, **sizes: int) -> DataFrame:
 
 def streak_values(timeline: DataFrame, burn_in: int, order: str = "ts", **sizes: int) -> DataFrame:
     """Signed streak entering each real game; the burn-in counts real games."""
-    streaks = _streaks(timeline, order, **sizes)
+    streaks = signed_streaks(timeline, order, **sizes)
     return streaks.where(F.col("real_no") > burn_in).select(*PLAYER, order, "streak")
 
 
 def streak_win_rate(timeline: DataFrame, burn_in: int, order: str = "ts", **sizes: int) -> DataFrame:
     """Win rate of the next game per streak value; the burn-in counts all games."""
-    streaks = _streaks(timeline, order, **sizes)
+    streaks = signed_streaks(timeline, order, **sizes)
     return (
         streaks.where(F.col("game_no") > burn_in)
         .groupBy("streak")
@@ -130,8 +137,9 @@ def win_rate_windows(
     one short window. Segments of a large player borrow the next games from
     later segments, so no window is lost at a cut.
     """
-    real = timeline.where(F.col("real_match") >= fixed.REAL_MATCH).select(*PLAYER, order, "win")
-    cut = split(real, PLAYER, order, **sizes)
+    ties = _ties(timeline)
+    real = timeline.where(F.col("real_match") >= fixed.REAL_MATCH).select(*PLAYER, order, *ties, "win")
+    cut = split(real, PLAYER, order, ties=ties, **sizes)
 
     numbered = cut.large_rows.withColumn("local_no", F.row_number().over(cut.window))
     ws = cut.over_segments
@@ -154,7 +162,7 @@ def win_rate_windows(
         .withColumn("place", F.col("place") - F.col("back"))
         .join(F.broadcast(borrowers), [*PLAYER, "place"])
         .where(F.col("game_no") < F.col("through") + window_size)
-        .select(*PLAYER, order, "win", F.col("borrower").alias(SEGMENT), F.lit(True).alias("lent"))
+        .select(*PLAYER, order, *ties, "win", F.col("borrower").alias(SEGMENT), F.lit(True).alias("lent"))
     )
     offsets = offsets.select(*PLAYER, SEGMENT, "games_before")
 

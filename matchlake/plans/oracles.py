@@ -432,6 +432,9 @@ FROM serious""",
 SELECT account_id, qualifier, ts, value FROM moved WHERE regexp_full_match(qualifier, 'real_.*')""",
     "games_played": """
 SELECT account_id, CAST(0 AS BIGINT) AS ts, CAST(count(*) FILTER (real_match <> 1) AS DOUBLE) AS games_played
+FROM tl WHERE real_match IS NOT NULL GROUP BY account_id""",
+    "advanced_games_played": """
+SELECT account_id, CAST(0 AS BIGINT) AS ts, CAST(count(*) FILTER (real_match <> 1) AS DOUBLE) AS games_played
 FROM tl WHERE real_match IS NOT NULL GROUP BY account_id""",
     # versioned cells
     "match_cells": f"""
@@ -534,6 +537,7 @@ SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS members,
 FROM a{q.ITERATIONS} LEFT JOIN hero_dim USING (hero_id) GROUP BY cluster""",
     # timelines
     "streak_values": f", {_STREAKS} SELECT account_id, ver_us, streak FROM streaks WHERE real_no > {q.BURN_IN}",
+    "advanced_streak_values": f", {_STREAKS} SELECT account_id, ver_us, streak FROM streaks WHERE real_no > {q.BURN_IN}",
     "streak_win_rate": f"""
 , {_STREAKS}
 SELECT streak, {_tidy(f'avg({_WON})')} AS win_rate, count(*) AS games
