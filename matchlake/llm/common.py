@@ -81,6 +81,13 @@ def held_out(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def thinned(key: str, share: float) -> Column:
+    """About this share of the rows by a hash of ``key``, in steps of 10^-12, so that large tables keep some."""
+    million = 1_000_000
+    part = lambda *of: F.pmod(F.xxhash64(*of), F.lit(million))
+    return part(key) + part(key, F.lit(1)) / million < F.lit(share * million)
+
+
 class Scratch:
     """Parquet tables of one run in the folder that all executors share.
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 #: Pages that the weights are fitted on, about, and passes over them.
 SAMPLE_PAGES, EPOCHS, RATE = 300, 6, 0.02
 #: Hashed path words, hashed text words, measures; width of each direction's state.
@@ -387,7 +389,7 @@ def train(pages: DataFrame) -> Labeller:
     rows = pages.select(F.col("`html`").cast("string").alias("html")).where("html IS NOT NULL")
     share = min(1.0, SAMPLE_PAGES / max(1, rows.count()))
     rank = F.xxhash64("html")
-    thin = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(1_000_000 * share)).where(F.length("html") < 100_000)
+    thin = rows.where(thinned("html", share)).where(F.length("html") < 100_000)
     return fit([r[0] for r in thin.orderBy(rank).limit(2 * SAMPLE_PAGES).toLocalIterator()])
 
 

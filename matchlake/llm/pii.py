@@ -17,6 +17,7 @@ import hashlib
 import math
 import re
 from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents looked at for fitting, about, and stretches taken from them, at most.
@@ -316,9 +317,19 @@ def find(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
         return [], []
     base = base_spans(text)
     spans = list(base)
+    # Base spans of several kinds may overlap; together they are disjoint stretches in order.
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(base, key=lambda b: b[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for start, piece in stretches(text):
         for span in field.decode(Stretch(piece, start)):
-            if all(span[2] <= s or e <= span[1] for _, s, e in base):
+            near = bisect_left(starts, span[2]) - 1
+            if near < 0 or ends[near] <= span[1]:
                 spans.append(span)
     return base, sorted(spans)
 
@@ -332,7 +343,7 @@ def train(documents: DataFrame) -> Field:
     rows = documents.select(F.col("`text`").cast("string").alias("text"))
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     rank = F.xxhash64("text")
-    thin = rows.where(F.pmod(rank, F.lit(1_000_000)) < int(1_000_000 * share)).where(F.length("text") < 20_000)
+    thin = rows.where(thinned("text", share)).where(F.length("text") < 20_000)
     found = thin.where(F.col("text").rlike("[0-9@]")).orderBy(rank).limit(SAMPLE_DOCS)
     return fit(row[0] for row in found.toLocalIterator())
 

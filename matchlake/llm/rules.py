@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
+from .common import Scratch, held_out, thinned
 
 #: Labelled rows that the rules are fitted on, about; more are thinned by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -23,8 +23,6 @@ LEAST_LEAF = 10
 PENALTY, STEPS = 0.0015, 1500
 THRESHOLD = 0.7
 
-_HASH_RANGE = 1_000_000
-
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of whole texts; null and empty texts have none of anything."""
@@ -178,8 +176,7 @@ def _sample(stats: DataFrame, labels: DataFrame, most: int) -> tuple[dict[str, n
     )
     marks = marks.where("quality IN (0, 1)")
     share = min(1.0, most / max(1, marks.count()))
-    thin = F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
-    rows = stats.join(marks.where(thin), "doc_id").select("quality", *NAMES).toPandas()
+    rows = stats.join(marks.where(thinned("doc_id", share)), "doc_id").select("quality", *NAMES).toPandas()
     rows = rows.sort_values(["quality", *NAMES], kind="stable")
     return {n: rows[n].to_numpy(float) for n in NAMES}, rows["quality"].to_numpy(float)
 

@@ -8,7 +8,7 @@ import time
 import pytest
 from corpus import MIDDLE, documents, odd_rows, table
 
-from matchlake.llm import pii
+from matchlake.llm import common, pii
 
 
 def checksum(digits):
@@ -92,6 +92,38 @@ def test_long_texts_take_linear_time(field):
         assert time.perf_counter() - began < 30
 
 
+def test_many_spans_take_linear_time():
+    """Half of 100,000 spans are the field's; those that touch a pattern's are left out."""
+
+    class Stub:
+        def decode(self, stretch):
+            return [(3, m.start() + shift, m.end() + shift) for m in re.finditer("n[0-9]+|x", stretch.text)]
+
+    class Stretches:
+        def __init__(self, text, start=0):
+            global shift
+            self.text, shift = text, start
+
+    text = " ".join(f"n{k} ax{k}@b.com" for k in range(50_000))
+    began = time.perf_counter()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "Stretch", Stretches)
+        base, spans = pii.find(text, Stub())
+    assert time.perf_counter() - began < 20
+    assert len(base) == 50_000 and len(spans) == 100_000
+    assert all(text[s] == "n" for k, s, _ in spans if k == 3)
+
+
+def test_thinned_keeps_the_share(spark):
+    rows = spark.range(200_000)
+    assert rows.where(common.thinned("id", 1.0)).count() == 200_000
+    assert 800 < rows.where(common.thinned("id", 0.005)).count() < 1_200
+    # What a sample of 300 of 10^10 rows asks for is not rounded to nothing.
+    parts = rows.select(common.thinned("id", 300 / 1e10).alias("kept"))
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.03" in plan and rows.where(common.thinned("id", 3e-5)).count() > 0
+
+
 def test_spans_at_every_offset_of_long_stretches(field):
     """A number is found whole wherever it stands in a stretch of over 256 characters."""
     number = "(301) 555-0199"
