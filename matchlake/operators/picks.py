@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import cells
 
-# Account ids are 32 bits wide, so there are at most 2^16 blocks of 2^16 ids.
+# Ids are at most 64 bits wide and numbered in blocks of 2^16 ids.
+_ID_BITS = 64
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
 
@@ -17,12 +18,31 @@ def classified_games(timeline: DataFrame) -> DataFrame:
     return timeline.where(F.col("real_match").isNotNull())
 
 
+def _earlier_players(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, earlier) for (block, players): the players of all lower blocks of ``bits`` bits.
+
+    Counts of earlier blocks are summed within groups of 2^16 blocks, and the groups' own
+    counts in the same way, so that no task sums over more than 65,536 of them
+    and groups are summed side by side.
+    """
+    lower = lambda window: F.coalesce(
+        F.sum("players").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    if bits <= _BLOCK_BITS:
+        return blocks.select("block", lower(Window.orderBy("block")).alias("earlier"))
+    grouped = blocks.withColumn("above", F.shiftright("block", _BLOCK_BITS))
+    inside = grouped.withColumn("inside", lower(Window.partitionBy("above").orderBy("block")))
+    sums = grouped.groupBy(F.col("above").alias("block")).agg(F.sum("players").alias("players"))
+    above = _earlier_players(sums, bits - _BLOCK_BITS).select(F.col("block").alias("above"), "earlier")
+    return inside.join(above, "above").select("block", (F.col("inside") + F.col("earlier")).alias("earlier"))
+
+
 def player_row_numbers(timeline: DataFrame, size_filter: int) -> DataFrame:
     """Dense numbers from 0, by account id, of players with enough classified games.
 
-    Numbers are local to a block of ids plus the count of earlier blocks. Blocks
-    hold at most 65,536 players each and there are at most as many blocks, so
-    neither the numbering nor the running count needs all players in one task.
+    Numbers are local to a block of ids plus the count of earlier blocks, see
+    :func:`_earlier_players`. Ids may be of any integer type; negative ones come first, and
+    games without an id, as one player, before them.
     """
     players = (
         classified_games(timeline)
@@ -32,19 +52,18 @@ def player_row_numbers(timeline: DataFrame, size_filter: int) -> DataFrame:
         # Never null, so that both uses below keep the same plan and share its shuffle.
         .select(
             "account_id",
-            F.coalesce(F.shiftright("account_id", _BLOCK_BITS), F.lit(0)).alias("block"),
+            F.coalesce(
+                F.shiftright(F.col("account_id").cast("long"), _BLOCK_BITS),
+                F.lit(-1 << (_ID_BITS - _BLOCK_BITS - 1)),
+            ).alias("block"),
         )
     )
     blocks = players.groupBy("block").agg(F.count("*").alias("players"))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "block", F.coalesce(F.sum("players").over(earlier), F.lit(0)).alias("offset")
-    )
     inside = Window.partitionBy("block").orderBy("account_id")
     return (
         players.withColumn("local", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "block")
-        .select("account_id", (F.col("offset") + F.col("local")).cast("double").alias("row_number"))
+        .join(_earlier_players(blocks, _ID_BITS - _BLOCK_BITS), "block")
+        .select("account_id", (F.col("earlier") + F.col("local")).cast("double").alias("row_number"))
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.slots import slot_start
-from ..sources.dimensions import lookup
+from ..sources.dimensions import MAX_LOOKUP_BYTES, settle
 
 # Rows of a group that ranking keeps on the map side at most, and parts of larger groups.
 _RANKED, _PARTS = 1000, 64
+# Parts of a hero's games in a slot, where the rates are too many to broadcast.
+_SALTS = 16
 
 
 def _signed_games(timeline: DataFrame, drop_first: int, order: str, *columns: str) -> DataFrame:
@@ -65,17 +67,28 @@ def hero_skill_adjusted(
     min_games: int,
     order: str = "ts",
     time_ms: str = "ts",
+    max_bytes: int = MAX_LOOKUP_BYTES,
 ) -> DataFrame:
     """Mean of win minus the hero's win rate in the game's slot, per (player, hero).
 
     ``rates`` has (hero_id, slot_ms, win_rate) with slots of ``interval`` seconds.
     Games in slots without a rate do not count in the mean, but do count
     towards ``min_games``.
+
+    Rates are written once, and their size decides the join: up to ``max_bytes`` they are broadcast;
+    beyond, a copy of them meets each of 16 parts of the players, as a popular hero's
+    games in one slot would be too many for a task.
     """
     slotted = timeline.withColumn("slot_ms", slot_start(F.col(time_ms), interval))
-    # Heroes times slots: small beside the games, which meet the rates where they are read.
-    expected = lookup(rates.select("hero_id", "slot_ms", "win_rate"))
-    games = _signed_games(slotted, drop_first, order, "slot_ms").join(expected, ["hero_id", "slot_ms"], "left")
+    # Heroes times slots: mostly small beside the games, which then meet the rates where they are read.
+    expected, size = settle(rates.select("hero_id", "slot_ms", "win_rate"))
+    games = _signed_games(slotted, drop_first, order, "slot_ms")
+    if size <= max_bytes:
+        games = games.join(F.broadcast(expected), ["hero_id", "slot_ms"], "left")
+    else:
+        games = games.withColumn("salt", F.pmod(F.xxhash64("account_id"), F.lit(_SALTS)))
+        copies = expected.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        games = games.join(copies, ["hero_id", "slot_ms", "salt"], "left")
     rated = F.when(F.col("win_rate").isNotNull(), F.col("sign"))
     return (
         games.groupBy("account_id", "hero_id")

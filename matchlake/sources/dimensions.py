@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+
+from ..session import checkpoint
 
 # Largest table a lookup broadcasts.
 MAX_LOOKUP_ROWS = 10_000
+# Largest one by bytes, where they are known.
+MAX_LOOKUP_BYTES = 64 << 20
+# What a row takes in a hash table beside its values.
+_ROW_BYTES = 32
 
 HERO_DOCUMENT = "count INT, heroes ARRAY<STRUCT<localized_name: STRING, name: STRING, id: INT>>"
 ITEM_DOCUMENT = "items ARRAY<STRUCT<id: INT, name: STRING>>"
@@ -18,6 +25,17 @@ def lookup(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if small else table
 
 
+def settle(table: DataFrame) -> tuple[DataFrame, int]:
+    """``table`` of plain columns, written once, and its size in bytes, which that write observes."""
+    width = F.lit(_ROW_BYTES + 8 * len(table.columns))
+    for field in table.schema:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    seen = Observation()
+    written = checkpoint(table.observe(seen, F.sum(width).alias("bytes")))
+    return written, seen.get["bytes"] or 0
+
+
 def names(documents: DataFrame, schema: str, container: str, id_column: str, name_field: str) -> DataFrame:
     """(id_column, name) rows of the list ``container`` in each JSON document."""
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})

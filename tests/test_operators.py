@@ -300,6 +300,17 @@ def test_row_numbers_are_dense_over_blocks(spark):
     assert {r.account_id: r.row_number for r in found} == {a: float(i) for i, a in enumerate(sorted(accounts))}
 
 
+def test_row_numbers_of_wide_ids(spark):
+    """Ids of 64 bits, in blocks that differ in any of their bits; none is first."""
+    rng = random.Random(8)
+    accounts = {rng.randrange(-(1 << bits), 1 << bits) for bits in range(4, 64) for _ in range(6)}
+    accounts |= {-(1 << 63), (1 << 63) - 1, 0, -1}
+    rows = [(a, 1, 1, True, 1.0) for a in [None, *accounts]]
+    numbers = picks.player_row_numbers(spark.createDataFrame(rows, TIMELINE), 1)
+    found = {r.account_id: r.row_number for r in numbers.collect()}
+    assert found == {a: float(i) for i, a in enumerate([None, *sorted(accounts)])}
+
+
 def test_shares_and_vectors(spark):
     rows = [(1, t, 1 + t % 2, True, 1.0) for t in range(3)] + [(2, 1, 5, True, 2.0), (3, 1, 1, True, None)]
     games = spark.createDataFrame(rows, TIMELINE)

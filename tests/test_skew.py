@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchlake.operators import quality, segments, skill, timeline
 from matchlake.plans.oracles import oracle_sql
 from matchlake.plans.queries import QUERIES
+from matchlake.sources import dimensions
 
 SOURCE = "/root/testdata/sf0.01"
 SQL = oracle_sql()
@@ -116,3 +117,23 @@ def test_adjusted_skill_aggregates_once(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "Window" not in plan
     assert [tuple(r) for r in frame.collect()] == [(1, 2, 0.25, 2)]
+
+
+def test_rates_too_many_to_broadcast(spark):
+    """Salted copies of the rates give what a broadcast gives, a hot player and hero included."""
+    rows = [(k if k % 3 else 7, 300 * k, 1 + (k % 4 == 0) * (k % 5), k % 2 == 0, 2) for k in range(600)]
+    games = spark.createDataFrame(rows, "account_id long, ts long, hero_id int, win boolean, real_match int")
+    rates = spark.createDataFrame(
+        [(hero, slot * 60_000, hero / 8) for hero in range(1, 5) for slot in range(3)], "hero_id int, slot_ms long, win_rate double"
+    )
+    small, large = (skill.hero_skill_adjusted(games, rates, 60, 0, 1, max_bytes=most) for most in (1 << 20, 0))
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in large._jdf.queryExecution().analyzed().toString()
+    found = [sorted((r.account_id, r.hero_id, round(r.score, 9), r.size) for r in f.collect()) for f in (small, large)]
+    assert found[0] == found[1] and len(found[0]) > 350
+
+
+def test_size_of_a_written_table(spark):
+    table, size = dimensions.settle(spark.createDataFrame([(1, "ab"), (2, None)], "id long, name string"))
+    assert size == 2 * (32 + 16) + 2 and table.count() == 2
+    assert dimensions.settle(table.where("id > 5"))[1] == 0
