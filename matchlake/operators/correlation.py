@@ -1,9 +1,13 @@
 """Correlations between sparse vectors given as (index, vec, val) triples.
 
-A triple is unique per (index, vec). Vectors are heroes or similar small
-catalogues with integer ids, indexes are players. The values of an index meet in one
-row, a list that the catalogue bounds, and are paired there: one shuffle of the triples
-and no join. The sums per pair are combined per task before they are shuffled.
+A triple is unique per (index, vec). Indexes are players; vectors are heroes or another
+catalogue with integer ids. The product of the triples with themselves is partitioned by
+blocks: the values of an index are cut into blocks of at most BLOCK vectors, and each two
+blocks meet under a key of their own. An index with no more than BLOCK vectors is one block,
+so one shuffle of the triples and no join pair its values. The blocks of a longer one are
+shuffled once more, each to the blocks of its index, so that its pairs, whose number is
+quadratic, are spread over tasks. The sums per pair are combined per task before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +19,38 @@ from ..functions.statistics import padded_product, padded_spread, pearson, pears
 from ..sources.dimensions import lookup
 
 
+# Vectors of an index that are paired in one row.
+BLOCK = 512
+
+
+def _block_pairs(lists: DataFrame, block: int) -> DataFrame:
+    """(lows, highs): each two blocks of a list of values, and each block with itself.
+
+    A block is sent to the keys (index, lower block, upper block) that it takes part in.
+    """
+    number = F.ceil(F.size("values") / F.lit(block)).cast("int")
+    cut = F.transform(
+        F.sequence(F.lit(0), number - 1),
+        lambda i: F.slice(F.sort_array("values"), i * F.lit(block) + 1, F.lit(block)),
+    )
+    rows = lists.select("index", number.alias("number"), F.posexplode(cut).alias("place", "part"))
+    others = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
+    met = others.groupBy(
+        "index", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j")
+    ).agg(F.min_by("part", "place").alias("lows"), F.max_by("part", "place").alias("highs"))
+    return met.select("lows", "highs")
+
+
 def _pairs(triples: DataFrame) -> DataFrame:
     """Values of two vectors, ``lower`` < ``upper``, at each index they share."""
     known = triples.where(F.col("index").isNotNull() & F.col("vec").isNotNull())
     lists = known.groupBy("index").agg(F.collect_list(F.struct("vec", F.col("val"))).alias("values"))
-    firsts = lists.where(F.size("values") > 1).select("values", F.explode("values").alias("low"))
-    above = F.filter("values", lambda v: v["vec"] > F.col("low.vec"))
+    short = lists.where(F.size("values").between(2, BLOCK))
+    blocks = short.select(F.col("values").alias("lows"), F.col("values").alias("highs")).unionByName(
+        _block_pairs(lists.where(F.size("values") > BLOCK), BLOCK)
+    )
+    firsts = blocks.select("highs", F.explode("lows").alias("low"))
+    above = F.filter("highs", lambda v: v["vec"] > F.col("low.vec"))
     return firsts.select("low", F.explode(above).alias("up")).select(
         F.col("low.vec").alias("lower"),
         F.col("low.val").alias("x"),
