@@ -225,15 +225,17 @@ def _kmeans() -> str:
     parts = [
         "heroes AS (SELECT DISTINCT hero_id FROM shares)",
         "dims AS (SELECT DISTINCT player_row FROM shares)",
-        "dense AS (SELECT h.hero_id, d.player_row, coalesce(s.share, 0) AS x FROM heroes h CROSS JOIN dims d"
+        "dense AS (SELECT h.hero_id, d.player_row, CAST(round(coalesce(s.share, 0) * 1e12) AS HUGEINT) AS x"
+        " FROM heroes h CROSS JOIN dims d"
         " LEFT JOIN shares s ON s.hero_id = h.hero_id AND s.player_row = d.player_row)",
         "seeds AS (SELECT hero_id, row_number() OVER (ORDER BY hero_id) - 1 AS cluster FROM heroes"
         f" QUALIFY cluster < {q.CLUSTERS})",
-        "c0 AS (SELECT cluster, player_row, x AS c FROM dense JOIN seeds USING (hero_id))",
+        "c0 AS (SELECT cluster, player_row, x AS c, 1 AS m FROM dense JOIN seeds USING (hero_id))",
     ]
     for i in range(q.ITERATIONS + 1):
         parts.append(
-            f"d{i} AS (SELECT hero_id, cluster, round(sum(abs(x - c)), 9) AS d FROM dense JOIN c{i} USING (player_row)"
+            f"d{i} AS (SELECT hero_id, cluster, sum(abs(m * x - c)) * 1000000 // any_value(m) AS d"
+            f" FROM dense JOIN c{i} USING (player_row)"
             " GROUP BY hero_id, cluster)"
         )
         parts.append(
@@ -241,7 +243,7 @@ def _kmeans() -> str:
             " QUALIFY row_number() OVER (PARTITION BY hero_id ORDER BY d, cluster) = 1)"
         )
         parts.append(
-            f"c{i + 1} AS (SELECT cluster, player_row, avg(x) AS c FROM dense JOIN a{i} USING (hero_id)"
+            f"c{i + 1} AS (SELECT cluster, player_row, sum(x) AS c, count(*) AS m FROM dense JOIN a{i} USING (hero_id)"
             f" GROUP BY cluster, player_row UNION ALL SELECT * FROM c{i}"
             f" WHERE cluster NOT IN (SELECT cluster FROM a{i}))"
         )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,31 +47,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@contextmanager
-def fixed_plans(spark: SparkSession) -> Iterator[None]:
-    """Plan without runtime changes, so that a checkpoint keeps its partitioning."""
-    key = "spark.sql.adaptive.enabled"
-    adaptive = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, adaptive)
+class BucketedTables:
+    """Tables of one run in the shared folder, all bucketed and sorted by the same columns.
 
-
-# Rows a partition of a fixed layout holds at least.
-ROWS_PER_PARTITION = 100_000
-
-
-def checkpoint_by(df: DataFrame, *columns: str) -> DataFrame:
-    """Checkpoint laid out by columns; later joins and aggregates on them need no shuffle.
-
-    For columns without skew only, as the layout is fixed. What leads up to ``df``
-    still runs adaptively.
+    Joins and aggregates on those columns read them without a shuffle. There are as many
+    buckets as the session has shuffle partitions. Leaving the context deletes the tables.
     """
-    spark = df.sparkSession
-    settled = checkpoint(df)
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(1, min(most, settled.count() // ROWS_PER_PARTITION))
-    with fixed_plans(spark):
-        return checkpoint(settled.repartition(partitions, *columns))
+
+    def __init__(self, spark: SparkSession, *columns: str):
+        self.spark = spark
+        self.columns = columns
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prefix = f"bucketed_{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{self.prefix}"
+        self.names: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, which should be laid out by the columns, and read it again."""
+        name = f"{self.prefix}_{len(self.names)}"
+        self.names.append(name)
+        (
+            df.write.option("path", f"{self.folder}/{name}")
+            .bucketBy(self.buckets, *self.columns)
+            .sortBy(*self.columns)
+            .saveAsTable(name)
+        )
+        return self.spark.table(name)
+
+    def __enter__(self) -> BucketedTables:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

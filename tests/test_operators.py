@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 from statistics import mean
 
 import numpy as np
@@ -243,6 +244,57 @@ def test_shared_correlations(spark):
     assert filtered.count() == 0
 
 
+def dense_pairs(values):
+    """Lower, upper and both values of all pairs of one index, by position."""
+    return {(a, b, values[a], values[b]) for a in values for b in values if a < b}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 7, 8, 9, 23])
+def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(correlation, "BLOCK", 3)
+    rng = random.Random(size)
+    values = {v: float(v * v) for v in rng.sample(range(-50, 50), size)}
+    rows = [(5, v, x, 1) for v, x in values.items()] + [(6, 1, 2.0, 1), (6, 2, None, 1), (None, 1, 1.0, 1), (6, None, 1.0, 1)]
+    found = correlation._pairs(spark.createDataFrame(rows, TRIPLES)).collect()
+    wanted = dense_pairs(values) | {(1, 2, 2.0, None)}
+    assert len(found) == len(wanted)
+    assert {(r.lower, r.upper, r.x, r.y) for r in found} == wanted
+
+
+def test_correlations_in_blocks_equal_those_in_one(spark, monkeypatch):
+    triples = make_triples(spark)
+    ways = [
+        correlation.shared_correlations,
+        lambda t: correlation.matrix_correlations(t, 60),
+        lambda t: correlation.present_correlations(t, 60),
+        lambda t: correlation.range_correlations(t, 60, 1, 10),
+    ]
+    whole = [sorted(map(tuple, way(triples).collect())) for way in ways]
+    monkeypatch.setattr(correlation, "BLOCK", 2)
+    for way, rows in zip(ways, whole, strict=True):
+        found = sorted(map(tuple, way(triples).collect()))
+        assert [r[:2] for r in found] == [r[:2] for r in rows]
+        assert [r[2] for r in found] == pytest.approx([r[2] for r in rows], nan_ok=True)
+
+
+def test_index_with_many_vectors_is_spread(spark):
+    """10^5 vectors at one index: blocks are bounded, each two meet once, keys go to many tasks."""
+    vectors = 100_000
+    lists = spark.range(vectors).select(F.lit(1).alias("index"), F.struct("id", F.lit(1.0)).alias("v"))
+    lists = lists.groupBy("index").agg(F.collect_list("v").alias("values"))
+    met = correlation._block_pairs(lists, correlation.BLOCK).select(
+        F.size("lows").alias("a"), F.size("highs").alias("b"),
+        (F.col("lows")[0]["id"] == F.col("highs")[0]["id"]).alias("same"), F.spark_partition_id().alias("task"),
+    )
+    found = met.agg(
+        F.count("*").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), F.countDistinct("task").alias("tasks"),
+        F.sum(F.when(F.col("same"), F.expr("a * (a - 1) div 2")).otherwise(F.expr("a * b"))).alias("pairs"),
+    ).first()
+    blocks = -(-vectors // correlation.BLOCK)
+    assert (found.n, found.a, found.b) == (blocks * (blocks + 1) // 2, correlation.BLOCK, correlation.BLOCK)
+    assert found.pairs == vectors * (vectors - 1) // 2 and found.tasks == 8
+
+
 def test_full_length_correlations_agree(spark):
     import numpy as np
 
@@ -360,19 +412,44 @@ def test_equal_distances_go_to_the_lowest_cluster(spark):
     assert {r.cluster: r.heroes for r in named} == {0: "a, b", 1: "UNKNOWN"}
 
 
-@pytest.mark.parametrize("rows", [10, 100])
-def test_cluster_iterations_do_not_move_entries(spark, monkeypatch, rows):
-    monkeypatch.setattr(session, "ROWS_PER_PARTITION", rows)
+def test_sums_in_any_order_are_equal_distances(spark):
+    """A tenth thrice and three tenths differ as doubles, but not as distances."""
+    rows = [(1, r, 0.1) for r in range(3)] + [(2, 3, 0.3), (3, 4, 0.7)]
+    shares = spark.createDataFrame(rows, "hero_id int, player_row long, share double")
+    for order in ("player_row", "share"):
+        found = clusters.hero_clusters(shares.orderBy(order), 2, 0).collect()
+        assert {r.hero_id: r.cluster for r in found} == {1: 0, 2: 1, 3: 0}
+
+
+def test_cluster_iterations_do_not_move_entries(spark, monkeypatch):
+    """Once the entries are written, nothing shuffles by player row, and no table is left."""
+    plans, folders = [], []
+    write, checkpoint = session.BucketedTables.write, session.checkpoint
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+
+    def written(tables, df):
+        folders.append(tables.folder)
+        if tables.names:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(tables, df)
+
+    monkeypatch.setattr(clusters, "checkpoint", seen)
+    monkeypatch.setattr(session.BucketedTables, "write", written)
     rows = [(h, r, 0.5) for h in range(8) for r in range(h, 40)]
     shares = spark.createDataFrame(rows, "hero_id int, player_row long, share double")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assigned = clusters.hero_clusters(shares, 3, 1)
-        plan = assigned._jdf.queryExecution().executedPlan().toString()
+        assert clusters.hero_clusters(shares, 3, 2).count() == 8
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert "hashpartitioning(player_row" not in plan
+    assert len(plans) == 6 and len(set(folders)) == 1
+    assert not any("hashpartitioning(player_row" in plan for plan in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    assert not Path(folders[0].removeprefix("file:")).exists()
 
 
 # --- histograms -------------------------------------------------------------------------
