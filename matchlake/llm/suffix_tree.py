@@ -1,14 +1,20 @@
 """Language-model scores by a probabilistic suffix tree.
 
-The tree's states are contexts of up to two symbols. A symbol is a token frequent enough to
-have a state; all other tokens share one. A context is kept if its next-symbol distribution
-differs from its parent's by a divergence test. Distributions are smoothed towards the
-parent's, at the root towards token counts. A token is scored from the state of the
-longest kept suffix of what stands before it.
-
-Counts cover all training rows and are added in Spark. What is sent to tasks is bounded by
-relative frequencies, whatever the size of the corpus: at most 1 / ``CONTEXT`` contexts of each
-length, 1 / ``TRANSITION`` transitions, and 1 / ``COMMON`` tokens; counts of all rarer tokens are joined.
+The tree's states are contexts of up to ``DEPTH`` tokens. A context seen often enough is kept if
+its next-token distribution differs from its parent's (the context without its first token) by
+a divergence test, and if its parent is kept. Distributions are smoothed towards the parent's, at
+the root towards token counts. A token is scored from the state of the longest kept suffix of
+what stands before it.
+
+The tree is a set of Spark tables that grow with the corpus: thresholds are numbers of
+occurrences. At a kept context a listed token has ``gain + fall * parent's probability``, any other
+one ``fall * parent's``. So a text's score is its score at the root plus one value for
+each kept context and one for each listed transition that it meets. Values of the most frequent are sent
+to tasks, at most 1 / ``COMMON`` of a kind and length; those of all others are joined. What a
+task lists for the join is first thinned by a bit table of a fixed size, which can only
+let too much pass, and never too little.
+
+Contexts and transitions go by 64-bit keys: the rotated key of the tokens before, xor the token's hash.
 """
 
 from __future__ import annotations
@@ -19,23 +25,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, held_out, pieces, space_words, texts_of
 
-#: Least relative frequency of a context, of a transition, and of a token whose count is sent.
-CONTEXT, TRANSITION, COMMON = 1e-4, 4e-6, 4e-6
+#: Tokens of the longest contexts.
+DEPTH = 4
+#: Least occurrences of a context, and of a transition that is listed at it.
+CONTEXT, TRANSITION = 500, 6
+#: Least relative frequency of what is sent to tasks instead of being joined.
+COMMON = 4e-6
 #: A context is kept if count * divergence exceeds this many times log(count).
 KEEP = 3.0
 #: Weight of the parent's distribution, in tokens.
 SMOOTH = 20.0
 END = b""
-#: Distinct tokens or codes counted in a task before they are passed on.
-HELD = 400_000
-#: Symbol of tokens without a state of their own, and the place before a text.
-RARE, START = 0, 1
+#: Distinct tokens or transitions counted in a task before they are passed on.
+HELD, HELD_GRAMS = 400_000, 1_500_000
+#: Bits of the tables that thin what tasks list.
+BITS = 1 << 26
+#: Key of the place before a text, and by how many bits the key of what stands before is rotated.
+START, TURN = 0x5D588B656C078965, 23
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -67,17 +80,20 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def token_hash(word: bytes) -> int:
+    """As ``xxhash64`` in SQL gives it for a binary column."""
+    value = xxhash.xxh64_intdigest(word, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 class Alphabet:
-    """Tokens that are sent to tasks: counts of the common ones, symbols of the frequent ones."""
+    """Common tokens, which are sent to tasks, with their counts and hashes."""
 
-    def __init__(self, rows: Iterable[tuple[bytes, int]], total: int):
+    def __init__(self, rows: Iterable[tuple[bytes, int]]):
         common = sorted(((bytes(t), int(n)) for t, n in rows), key=lambda x: (-x[1], x[0]))
         self.numbers = {token: k for k, (token, _) in enumerate(common)}
         self.counts = np.array([n for _, n in common] + [0], np.int64)
-        frequent = self.counts >= CONTEXT * total
-        frequent[-1] = False
-        self.symbols = np.where(frequent, np.arange(len(common) + 1) + 2, RARE)
-        self.size = int(frequent.sum()) + 2
+        self.hashes = np.array([token_hash(t) for t, _ in common] + [0], np.int64)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the tokens and the end; tokens that were not sent have the last."""
@@ -85,162 +101,236 @@ class Alphabet:
         get = self.numbers.get
         return np.fromiter((get(w, rest) for w in [*words, END]), np.int64, len(words) + 1)
 
+    def symbols(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """Hashes of the start, the tokens and the end."""
+        found = np.empty(len(numbers) + 1, np.int64)
+        found[0], found[1:] = START, self.hashes[numbers]
+        for k in np.flatnonzero(numbers == len(self.numbers)):
+            found[k + 1] = token_hash(words[k] if k < len(words) else END)
+        return found
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    wide = keys.view(np.uint64)
+    return ((wide << np.uint64(TURN)) | (wide >> np.uint64(64 - TURN))).view(np.int64)
+
+
+def _turned_column(key: Column) -> Column:
+    return F.shiftleft(key, TURN).bitwiseOR(F.shiftrightunsigned(key, 64 - TURN))
+
+
+def _longer(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Keys of runs of one more token, by the place of their last one; the first place has none."""
+    longer = symbols.copy()
+    longer[1:] ^= _turned(keys[:-1])
+    return longer
+
+
+def _shift(values: np.ndarray, by: int) -> np.ndarray:
+    """Values of the place ``by`` places earlier."""
+    moved = np.zeros_like(values)
+    if by < len(values):
+        moved[by:] = values[: len(values) - by]
+    return moved
+
+
+class BitTable:
+    """A set of keys in ``BITS`` bits: has all that were put in, and some others."""
 
-def _contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol before each token, and the one before that."""
-    before = np.concatenate(([START], symbols[:-1]))
-    return before, np.concatenate(([START], before[:-1]))
+    def __init__(self, keys: DataFrame):
+        """From the first column; at most BITS / 64 rows reach the driver."""
+        key = F.col(keys.columns[0])
+        bits = keys.select(F.pmod(key, F.lit(BITS)).alias("bit"))
+        part = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+        words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(part).alias("bits")).toPandas()
+        self.words = np.zeros(BITS // 64, np.int64)
+        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys & (BITS - 1)
+        return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
-def _pair_counts(docs: DataFrame, alphabet: Broadcast, states: Broadcast | None) -> DataFrame:
-    """(code, n): how often a symbol follows a context, over the training rows.
 
-    A code is context * alphabet size + symbol. Contexts are symbols, or with ``states`` the
-    numbers of those pairs of symbols.
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of several texts, with the text of each and its place there."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    return np.concatenate(texts), text, np.arange(len(text)) - starts[text]
+
+
+def _transitions(docs: DataFrame, letters: Broadcast, often: Broadcast, listed: Broadcast, least: int, most: int) -> DataFrame:
+    """(context, suffix, n): occurrences of a context and of the run without its first token, over the training rows.
+
+    The contexts have ``least`` to ``most`` tokens. All runs of ``least`` tokens in them must be in
+    ``often``, and the last ``least`` tokens of the whole in ``listed``, as rarer parts make a rarer whole.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, pairs = alphabet.value, states.value if states else None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        alphabet, frequent, known = letters.value, often.value, listed.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            codes = np.concatenate([c for c, _ in held]) if held else np.zeros(0, np.int64)
-            counts = np.concatenate([n for _, n in held]) if held else np.zeros(0, np.int64)
-            codes, place = np.unique(codes, return_inverse=True)
-            counts = np.bincount(place, counts, len(codes)).astype(np.int64)
-            held[:] = [(codes, counts)]
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
+            if held:
+                context, suffix, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+            else:
+                context = suffix = counts = np.zeros(0, np.int64)
+            order = np.lexsort((suffix, context))
+            context, suffix, counts = context[order], suffix[order], counts[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])
+            at = np.flatnonzero(first)
+            counts = np.add.reduceat(counts, at) if len(at) else counts
+            held[:] = [(context[at], suffix[at], counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["context", "suffix", "n"])
 
         for batch in pieces(batches):
-            found = []
+            texts = []
             for text in texts_of(batch, "text"):
-                symbols = letters.symbols[letters.encode(space_words(text or b""))]
-                before, earlier = _contexts(symbols)
-                if pairs is None:
-                    found.append(before * letters.size + symbols)
-                else:
-                    state = _lookup(pairs, before * letters.size + earlier)
-                    found.append((state * letters.size + symbols)[state >= 0])
-            if found:
-                held.append(np.unique(np.concatenate(found), return_counts=True))
-            if sum(len(c) for c, _ in held) > HELD:
+                words = space_words(text or b"")
+                texts.append(alphabet.symbols(words, alphabet.encode(words)))
+            if not texts:
+                continue
+            symbols, _, place = _joined(texts)
+            keys = symbols
+            for _ in range(least - 1):
+                keys = _longer(keys, symbols)
+            parts, fits = frequent.has(keys), known.has(keys)
+            for length in range(least, most + 1):
+                fits = fits & _shift(parts, length - least + 1)
+                chosen = np.flatnonzero(fits & (place >= length))
+                if len(chosen):
+                    held.append((keys[chosen - 1], keys[chosen], np.ones(len(chosen), np.int64)))
+                keys = _longer(keys, symbols)
+            if sum(len(c) for c, _, _ in held) > HELD_GRAMS:
                 part = out()
-                if len(held[0][0]) > HELD // 2:
+                if len(held[0][0]) > HELD_GRAMS // 2:
                     yield part
                     held.clear()
         yield out()
 
-    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "code bigint, n bigint")
-    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "context bigint, suffix bigint, n bigint")
+    counts = parts.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= TRANSITION)
 
 
-def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of the values in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+def _grow(counted: DataFrame, contexts: DataFrame, parents: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One more length of contexts: candidate transitions, and the transitions and contexts that are kept.
 
+    ``contexts`` has candidates with their parent and count, ``parents`` the probability ``p`` of the
+    parents' transitions, or of tokens at the root, by ``key``.
+    """
+    key = _turned_column(F.col("context").bitwiseXOR(F.col("parent"))).bitwiseXOR(F.col("suffix"))
+    found = counted.join(contexts, "context").withColumn("key", key)
+    above = parents.select(F.col("key").alias("suffix"), F.col("p").alias("above"))
+    found = scratch.write(found.join(above, "suffix"), f"candidates-{level}")
+    whole = F.col("total") + SMOOTH
+    falls = found.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("seen"))
+    falls = falls.select("context", "total", ((whole - F.col("seen")) / whole).alias("fall"))
+    mine = found.drop("total").join(falls, "context").withColumn("p", F.col("n") / whole + F.col("fall") * F.col("above"))
+    sums = mine.groupBy("context").agg(
+        F.first("total").alias("total"),
+        F.first("fall").alias("fall"),
+        F.sum(F.col("p") * F.log(F.col("p") / F.col("above"))).alias("inner"),
+        F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("left"),
+        F.greatest(1 - F.sum("above"), F.lit(1e-12)).alias("base"),
+    )
+    divergence = F.col("inner") + F.col("left") * F.log(F.col("left") / F.col("base"))
+    kept = sums.where(F.col("total") * divergence > KEEP * F.log(F.greatest("total", F.lit(2))))
+    kept = scratch.write(kept.select("context", "total", "fall"), f"contexts-{level}")
+    chosen = mine.join(kept.select("context"), "context", "left_semi")
+    value = F.log10("p") - F.log10("above") - F.log10("fall")
+    listed = scratch.write(chosen.select("key", "p", "n", value.alias("value")), f"transitions-{level}")
+    return found, listed, kept
+
+
+class Model:
+    """Token counts, and the values of the tree's contexts and transitions by key."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        context = docs.sparkSession.sparkContext
+        self.tokens = scratch.write(token_counts(docs), "tokens")
+        total, distinct = self.tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
+        self.total, self.distinct = int(total or 0), int(distinct)
+        common = self.tokens.where((F.col("n") >= COMMON * self.total) | (F.col("token") == F.lit(END)))
+        self.letters = context.broadcast(Alphabet(common.toPandas().itertuples(index=False)))
+        hashed = self.tokens.select(F.xxhash64("token").alias("key"), "n", "token")
+        parents = hashed.select("key", ((F.col("n") + 1) / (self.total + self.distinct + 1)).alias("p"))
+        # A token is a context as often as it stands; the start, as often as the end.
+        start = F.when(F.col("token") == F.lit(END), F.lit(START)).otherwise(F.col("key"))
+        contexts = hashed.where(F.col("n") >= CONTEXT).select(
+            start.alias("context"), F.lit(0).cast("bigint").alias("parent"), F.col("n").alias("total")
+        )
+        often, listed = contexts, hashed.where(F.col("n") >= TRANSITION).select("key")
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        counted = None
+        for level in range(1, DEPTH + 1):
+            if level < 3:
+                # The first pass counts pairs of tokens, the second one all longer runs.
+                tables = [context.broadcast(BitTable(t)) for t in (often, listed)]
+                counted = scratch.write(_transitions(docs, self.letters, *tables, level, 1 if level == 1 else DEPTH), f"counts-{level}")
+            found, transitions, kept = _grow(counted, contexts, parents, scratch, level)
+            if kept.isEmpty():
+                break
+            self.levels.append((transitions, kept))
+            contexts = found.where(F.col("n") >= CONTEXT).select(
+                F.col("key").alias("context"), F.col("suffix").alias("parent"), F.col("n").alias("total")
+            )
+            contexts = contexts.join(kept.select(F.col("context").alias("parent")), "parent", "left_semi")
+            often, listed, parents = contexts.select("context"), transitions.select("key"), transitions
 
-class SuffixTree:
-    """Contexts of one and two symbols with smoothed next-symbol distributions.
+        values = docs.sparkSession.createDataFrame([], "key bigint, value double, n bigint")
+        for transitions, kept in self.levels:
+            values = values.unionByName(transitions.select("key", "value", "n")).unionByName(
+                kept.select(F.bitwise_not("context").alias("key"), F.log10("fall").alias("value"), F.col("total").alias("n"))
+            )
+        sent = values.where(F.col("n") >= COMMON * self.total).select("key", "value").toPandas().sort_values("key")
+        self.keys, self.values = sent["key"].to_numpy(np.int64), sent["value"].to_numpy(np.float64)
+        self.rest = values.where(F.col("n") < COMMON * self.total).select("key", "value")
+        self.others = BitTable(self.rest)
+        self.depth = len(self.levels)
 
-    ``root`` holds the distribution without a context. At a context a transition has its
-    discounted share, its gain, plus the parent's probability times the context's fall.
-    """
 
-    def __init__(self, size: int, root: np.ndarray):
-        self.size = size
-        self.root = root
-        self.contexts = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.falls = [np.zeros(0), np.zeros(0)]
-        self.codes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.gains = [np.zeros(0), np.zeros(0)]
-
-    def chance(self, level: int, before: np.ndarray, earlier: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Probability of the symbols after contexts of at most ``level`` symbols."""
-        chance = self.root[symbols]
-        for k in range(level):
-            context = before if k == 0 else before * self.size + earlier
-            state = _lookup(self.contexts[k], context)
-            at = _lookup(self.codes[k], state * self.size + symbols)
-            gain = np.where(at >= 0, self.gains[k][at] if len(self.gains[k]) else 0.0, 0.0)
-            fall = self.falls[k][state] if len(self.falls[k]) else 1.0
-            chance = np.where(state >= 0, gain + fall * chance, chance)
-        return chance
-
-    def grow(self, level: int, contexts: np.ndarray, totals: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Add those contexts whose transitions diverge from their parents'.
-
-        ``codes`` are context place * size + symbol, sorted; what a context's transitions leave
-        of its total goes to the parent's distribution.
-        """
-        place, symbols = codes // self.size, codes % self.size
-        named = contexts[place]
-        before = named if level == 0 else named // self.size
-        earlier = np.zeros(len(named), np.int64) if level == 0 else named % self.size
-        parent = self.chance(level, before, earlier, symbols)
-        whole = totals[place]
-        gain = counts / (whole + SMOOTH)
-        seen = np.bincount(place, counts, len(contexts))
-        fall = (totals + SMOOTH - seen) / (totals + SMOOTH)
-        mine = gain + fall[place] * parent
-        own, theirs = np.bincount(place, mine, len(contexts)), np.bincount(place, parent, len(contexts))
-        left, base = np.maximum(1 - own, 1e-12), np.maximum(1 - theirs, 1e-12)
-        divergence = np.bincount(place, mine * np.log(np.maximum(mine, 1e-300) / np.maximum(parent, 1e-300)), len(contexts)) + left * np.log(left / base)
-        kept = totals * divergence > KEEP * np.log(np.maximum(totals, 2))
-        number = np.cumsum(kept) - 1
-        chosen = kept[place]
-        self.contexts[level] = contexts[kept]
-        self.falls[level] = fall[kept]
-        self.codes[level] = number[place[chosen]] * self.size + symbols[chosen]
-        self.gains[level] = gain[chosen]
-
-
-def _bounded(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes counted at least ``least`` times; the caller's bound makes them few."""
-    rows = counts.where(F.col("n") >= least).toPandas().sort_values("code")
-    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-
-def train(docs: DataFrame, scratch: Scratch) -> tuple[Alphabet, SuffixTree, DataFrame, int, int]:
-    """Alphabet, tree, token counts, tokens and distinct tokens of the training rows."""
-    tokens = scratch.write(token_counts(docs), "tokens")
-    total, distinct = tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total, distinct = int(total or 0), int(distinct)
-    common = tokens.where((F.col("n") >= COMMON * total) | (F.col("token") == F.lit(END)))
-    letters = Alphabet(common.toPandas().itertuples(index=False), total)
-    symbol_counts = np.bincount(letters.symbols, letters.counts, letters.size)
-    symbol_counts[RARE] = total - symbol_counts[1:].sum()
-    tree = SuffixTree(letters.size, (symbol_counts + 1) / (total + letters.size))
-    if not total:
-        return letters, tree, tokens, total, distinct
-
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(letters)
-    size, states = letters.size, None
-    for level in range(2):
-        counted = scratch.write(_pair_counts(docs, sent, states), f"transitions-{level}")
-        codes, counts = _bounded(counted, max(2.0, TRANSITION * total))
-        if level == 0:
-            # A context's total is its count as a token; before a text stands the start.
-            totals = np.bincount(letters.symbols, letters.counts, size)
-            totals[RARE], totals[START] = symbol_counts[RARE], letters.counts[letters.numbers[END]]
-            contexts = np.arange(size, dtype=np.int64)
-            pairs, pair_counts = codes, counts
+class Tree:
+    """What tasks need of a model: values of frequent keys, and which keys others may have."""
+
+    def __init__(self, model: Model):
+        self.keys, self.values, self.others, self.depth = model.keys, model.values, model.others, model.depth
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the keys or 0, and whether a key is there, or may be among the others."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            there = self.keys[at] == keys
+            values = np.where(there, self.values[at], 0.0)
         else:
-            contexts, totals = named, named_counts
-        tree.grow(level, contexts, totals.astype(float), codes, counts)
-        if level == 0:
-            # Two symbols are a context if frequent, and if the nearer one is a state of its own.
-            often = pair_counts >= CONTEXT * total
-            earlier, before = pairs[often] // size, pairs[often] % size
-            named = before * size + earlier
-            order = np.argsort(named)
-            named, named_counts = named[order], pair_counts[often][order]
-            inner = np.isin(named // size, tree.contexts[0])
-            named, named_counts = named[inner], named_counts[inner]
-            states = context.broadcast(named)
-    return letters, tree, tokens, total, distinct
+            there, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        return values, there, ~there & self.others.has(keys)
+
+    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[list[int]]]:
+        """For each text the sum of the values that are here, and the keys to be joined."""
+        symbols, text, place = _joined(texts)
+        sums, places, keys = np.zeros(len(texts)), [], []
+        shorter, at = symbols, np.flatnonzero(place >= 1)
+        for length in range(1, self.depth + 1):
+            longer = _longer(shorter, symbols)
+            at = at[place[at] >= length]
+            context = ~shorter[at - 1]
+            value, there, maybe = self.look_up(context)
+            sums += np.bincount(text[at], value, len(texts))
+            places.append(text[at[maybe]])
+            keys.append(context[maybe])
+            at = at[there | maybe]
+            value, _, maybe = self.look_up(longer[at])
+            sums += np.bincount(text[at], value, len(texts))
+            places.append(text[at[maybe]])
+            keys.append(longer[at[maybe]])
+            shorter = longer
+        if not keys:
+            return sums, [[] for _ in texts]
+        place, key = np.concatenate(places), np.concatenate(keys)
+        order = np.argsort(place, kind="stable")
+        ends = np.cumsum(np.bincount(place, minlength=len(texts)))[:-1]
+        return sums, np.split(key[order], ends)
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -254,59 +344,59 @@ def score(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "suffix-tree")
     docs = _documents(documents)
-    letters, tree, tokens, total, distinct = train(docs, scratch)
-    sent = docs.sparkSession.sparkContext.broadcast((letters, tree))
-    denominator = math.log10(total + distinct + 1)
-    # Tokens of the rare symbol share its probability by their smoothed counts.
-    rare_tokens = distinct - (letters.size - 2)
-    rare_mass = total - int(letters.counts[letters.symbols != RARE].sum()) + rare_tokens + 1
-    rare_share = math.log10(rare_mass)
+    model = Model(docs, scratch)
+    total, letters = model.total, model.letters
+    sent = docs.sparkSession.sparkContext.broadcast(Tree(model))
+    denominator = math.log10(total + model.distinct + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, tree = sent.value
-        rest = len(letters.numbers)
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "tree_sum", "tokens", "times"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        logs = np.log10(letters.counts + 1.0)
+        alphabet, tree = letters.value, sent.value
+        rest = len(alphabet.numbers)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "tree_sum", "tokens", "times", "keys"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        logs = np.log10(alphabet.counts + 1.0)
         for batch in pieces(batches):
-            rows = []
+            rows, texts = [], []
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch, "text"), strict=True):
                 words = space_words(text or b"")
-                numbers = letters.encode(words)
-                symbols = letters.symbols[numbers]
-                sums = np.log10(tree.chance(2, *_contexts(symbols), symbols))
+                numbers = alphabet.encode(words)
                 known = numbers < rest
-                shared = known & (symbols == RARE)
-                tree_sum = float(sums.sum()) + float(logs[numbers[shared]].sum())
-                tree_sum -= rare_share * int((symbols == RARE).sum())
                 others = Counter(words[k] for k in np.flatnonzero(~known[:-1]))
+                texts.append(alphabet.symbols(words, numbers))
                 rows.append((
                     doc_id, held, len(numbers), int(known.sum()), float(logs[numbers[known]].sum()),
-                    tree_sum, list(others.keys()), list(others.values()),
+                    list(others.keys()), list(others.values()),
                 ))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            if not rows:
+                continue
+            columns = [list(c) for c in zip(*rows, strict=True)]
+            sums, keys = tree.score(texts)
+            columns = [*columns[:5], sums, *columns[5:], keys]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = (
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_sum double, "
-        "tree_sum double, tokens array<binary>, times array<bigint>"
+        "tree_sum double, tokens array<binary>, times array<bigint>, keys array<bigint>"
     )
     # Numbers of rows are settled by writing them.
     numbered = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = scratch.write(numbered, "scored")
     others = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t"))
     others = others.select("row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
-    rare = tokens.where(F.col("n") < COMMON * total)
-    more = others.join(rare, "token").groupBy("row").agg(
-        F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs")
+    rare = model.tokens.where(F.col("n") < COMMON * total)
+    more = others.join(rare, "token").select(
+        "row", "times", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.lit(0.0).alias("value")
     )
-    added = F.coalesce("logs", F.lit(0.0))
+    met = scored.select("row", F.explode("keys").alias("key")).join(model.rest, "key")
+    more = more.unionByName(met.select("row", F.lit(0).cast("bigint").alias("times"), F.lit(0.0).alias("logs"), "value"))
+    more = more.groupBy("row").agg(F.sum("times").alias("known"), F.sum("logs").alias("logs"), F.sum("value").alias("value"))
+    base = F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
     return scored.join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base_sum") + added - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-        (F.col("tree_sum") + added).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("tree_sum") + F.coalesce("value", F.lit(0.0))).alias("score"),
     )

@@ -1,12 +1,12 @@
-"""Suffix tree: base scores by brute force, distributions that add to one, held-out gain."""
+"""Suffix tree: base and tree scores by brute force, distributions that add to one, held-out gain."""
 
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from corpus import MIDDLE, SPACED, documents, lower, odd_rows, table
 
 from matchlake.llm import suffix_tree
@@ -40,41 +40,111 @@ def test_whole_table(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_tree(rows, context, transition, depth):
+    """Probability of a token after others, by the definition: (distributions, kept contexts)."""
+    texts = [["<", *SPACED.findall(lower(t)), ">"] for i, t in rows if training(i)]
+    counts = Counter(w for t in texts for w in t[1:])
+    size = sum(counts.values()) + len(counts) + 1
+    follow = defaultdict(Counter)
+    for t in texts:
+        for d in range(1, depth + 1):
+            for k in range(d, len(t)):
+                follow[tuple(t[k - d : k])][t[k]] += 1
+    kept = {}
+
+    def chance(before, word, most):
+        for d in range(min(most, len(before)), 0, -1):
+            if before[-d:] in kept:
+                gains, fall = kept[before[-d:]]
+                return gains.get(word, 0.0) + fall * chance(before, word, d - 1)
+        return (counts[word] + 1) / size
+
+    tried = {(): True}
+    for d in range(1, depth + 1):
+        for c in sorted(x for x in follow if len(x) == d):
+            total = sum(follow[c].values())
+            if total < context or c[:-1] not in tried or (d > 1 and c[1:] not in kept):
+                continue
+            tried[c] = True
+            listed = {w: n for w, n in follow[c].items() if n >= transition}
+            fall = (total + suffix_tree.SMOOTH - sum(listed.values())) / (total + suffix_tree.SMOOTH)
+            gains = {w: n / (total + suffix_tree.SMOOTH) for w, n in listed.items()}
+            above = {w: chance(c, w, d - 1) for w in listed}
+            mine = {w: gains[w] + fall * above[w] for w in listed}
+            left, base = max(1 - sum(mine.values()), 1e-12), max(1 - sum(above.values()), 1e-12)
+            divergence = sum(mine[w] * math.log(mine[w] / above[w]) for w in listed) + left * math.log(left / base)
+            if listed and total * divergence > suffix_tree.KEEP * math.log(max(total, 2)):
+                kept[c] = (gains, fall)
+    return lambda before, word: chance(before, word, depth), kept, counts
+
+
+def ordered_texts(rng, many):
+    """Words that depend on the two before, among some that do not."""
+    for _ in range(many):
+        words = [rng.choice("abc") for _ in range(2)]
+        for _ in range(60):
+            after = "abc"["abc".index(words[-1]) - "abc".index(words[-2])] if set(words[-2:]) <= set("abc") else "a"
+            words.append(after if rng.random() < 0.9 else rng.choice(["a", "b", "c", f"w{rng.randrange(40)}"]))
+        yield " ".join(words)
+
+
+@pytest.mark.parametrize("common", [4e-6, 0.02, 2.0])
+def test_tree_by_brute_force(spark, monkeypatch, common):
+    """Whatever is sent and whatever is joined, scores are those of the definition."""
+    for name, value in (("CONTEXT", 20), ("TRANSITION", 3), ("COMMON", common), ("HELD", 50), ("HELD_GRAMS", 100)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = list(enumerate(ordered_texts(random.Random(3), 120)))
+    rows += [(200, "a b never seen"), (201, ""), (202, None), (None, "a b c a b c"), (203, "c " * 400)]
+    chance, kept, counts = brute_tree(rows, 20, 3, suffix_tree.DEPTH)
+    assert max(map(len, kept)) >= 3
+    # Each kept context's distribution adds to one, all unseen words being one.
+    for before in kept:
+        assert sum(chance(before, w) for w in [*counts, "unseen"]) == pytest.approx(1)
+    found = suffix_tree.score(documents(spark, rows)).collect()
+    check(found, rows)
+
+    def whole(text):
+        words = ["<", *SPACED.findall(lower(text)), ">"]
+        return sum(math.log10(chance(tuple(words[:k]), words[k])) for k in range(1, len(words)))
+
+    expected = {i: whole(t) for i, t in rows}
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected, abs=1e-6)
+
+
+def test_tree_grows_with_the_corpus(spark, monkeypatch):
+    """More of the same kind of text gives more contexts and transitions: no number of them is fixed."""
+    monkeypatch.setattr(suffix_tree, "CONTEXT", 20)
+    docs = table(spark, MIDDLE, "documents")
+
+    def sizes(rows):
+        model = suffix_tree.Model(suffix_tree._documents(rows), Scratch(spark, "test-tree"))
+        return [sum(t.count() for t in column) for column in zip(*model.levels, strict=True)]
+
+    few, many = sizes(docs.where("doc_id % 5 = 0")), sizes(docs)
+    assert many[0] > 2 * few[0] and many[1] > 2 * few[1]
+
+
+def test_hashes_are_those_of_sql(spark):
+    words = [b"", b"a", b"0123456789" * 9, "äé".encode()]
+    found = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", F.xxhash64("w").alias("h"))
+    assert {bytes(r.w): r.h for r in found.collect()} == {w: suffix_tree.token_hash(w) for w in words}
+
+
+def test_bit_table_has_all_keys(spark):
+    keys = [random.Random(1).randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, -1, 63, 64]
+    table_ = suffix_tree.BitTable(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert table_.has(suffix_tree.np.array(keys)).all()
+    assert table_.has(suffix_tree.np.arange(1000, 11_000)).sum() < 100
+
+
 def test_common_and_rare_tokens_agree(spark, monkeypatch):
     """Counts that are sent and counts that are joined give one result."""
     docs = table(spark, MIDDLE, "documents").limit(200)
     monkeypatch.setattr(suffix_tree, "COMMON", 1e-3)
-    monkeypatch.setattr(suffix_tree, "CONTEXT", 2e-3)
     monkeypatch.setattr(suffix_tree, "HELD", 500)
     check(suffix_tree.score(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_learns_order_and_adds_to_one(spark):
-    rng = random.Random(8)
-    cycle = {"a": "b", "b": "c", "c": "a"}
-
-    def text():
-        words = [rng.choice("abc")]
-        for _ in range(60):
-            words.append(cycle[words[-1]] if rng.random() < 0.95 else rng.choice("abc"))
-        return " ".join(words)
-
-    docs = documents(spark, [(k, text()) for k in range(300)] + [(1000 + k, " ".join(rng.choice("abc") for _ in range(60))) for k in range(20)])
-    letters, tree, _, total, _ = suffix_tree.train(suffix_tree._documents(docs), Scratch(spark, "test-tree"))
-    symbols = np.arange(letters.size)
-    assert len(tree.contexts[0]) >= 3
-    for before in range(letters.size):
-        for earlier in range(letters.size):
-            chance = tree.chance(2, np.full(letters.size, before), np.full(letters.size, earlier), symbols)
-            assert chance.min() > 0 and chance.sum() == pytest.approx(1)
-    a, b = (int(letters.symbols[letters.numbers[x]]) for x in (b"a", b"b"))
-    assert tree.chance(1, np.array([a]), np.array([0]), np.array([b]))[0] > 0.8
-    found = {r.doc_id: r for r in suffix_tree.score(docs).collect()}
-    ordered = [r.score / r.n_tokens for i, r in found.items() if i < 300 and r.held_out]
-    shuffled = [r.score / r.n_tokens for i, r in found.items() if i >= 1000]
-    assert min(ordered) > max(shuffled)
-
-
 def test_odd_rows(spark):
     rows = [*odd_rows(), (40, "Unseen"), (41, "one one two")]
     found = suffix_tree.score(documents(spark, rows)).collect()
