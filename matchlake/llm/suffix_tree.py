@@ -142,9 +142,9 @@ class BitTable:
         key = F.col(keys.columns[0])
         bits = keys.select(F.pmod(key, F.lit(BITS)).alias("bit"))
         part = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-        words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(part).alias("bits")).toPandas()
+        words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(part).alias("bits")).toArrow()
         self.words = np.zeros(BITS // 64, np.int64)
-        self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        self.words[words["word"].to_numpy()] = words["bits"].to_numpy()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         bit = keys & (BITS - 1)
@@ -252,7 +252,8 @@ class Model:
         total, distinct = self.tokens.agg(F.sum("n"), F.count(F.lit(1))).first()
         self.total, self.distinct = int(total or 0), int(distinct)
         common = self.tokens.where((F.col("n") >= COMMON * self.total) | (F.col("token") == F.lit(END)))
-        self.letters = context.broadcast(Alphabet(common.toPandas().itertuples(index=False)))
+        common = common.select("token", "n").toArrow()
+        self.letters = context.broadcast(Alphabet(zip(common["token"].to_pylist(), common["n"].to_pylist(), strict=True)))
         hashed = self.tokens.select(F.xxhash64("token").alias("key"), "n", "token")
         parents = hashed.select("key", ((F.col("n") + 1) / (self.total + self.distinct + 1)).alias("p"))
         # A token is a context as often as it stands; the start, as often as the end.
@@ -268,6 +269,8 @@ class Model:
                 # The first pass counts pairs of tokens, the second one all longer runs.
                 tables = [context.broadcast(BitTable(t)) for t in (often, listed)]
                 counted = scratch.write(_transitions(docs, self.letters, *tables, level, 1 if level == 1 else DEPTH), f"counts-{level}")
+                for table in tables:
+                    table.unpersist()
             found, transitions, kept = _grow(counted, contexts, parents, scratch, level)
             if kept.isEmpty():
                 break
@@ -283,8 +286,8 @@ class Model:
             values = values.unionByName(transitions.select("key", "value", "n")).unionByName(
                 kept.select(F.bitwise_not("context").alias("key"), F.log10("fall").alias("value"), F.col("total").alias("n"))
             )
-        sent = values.where(F.col("n") >= COMMON * self.total).select("key", "value").toPandas().sort_values("key")
-        self.keys, self.values = sent["key"].to_numpy(np.int64), sent["value"].to_numpy(np.float64)
+        sent = values.where(F.col("n") >= COMMON * self.total).select("key", "value").toArrow().sort_by("key")
+        self.keys, self.values = sent["key"].to_numpy(), sent["value"].to_numpy()
         self.rest = values.where(F.col("n") < COMMON * self.total).select("key", "value")
         self.others = BitTable(self.rest)
         self.depth = len(self.levels)
