@@ -9,6 +9,7 @@ replayed from the history.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,10 @@ STATE = (
 )
 
 
+#: Writes a table that several later steps read, by its name, and reads it again.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def no_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
@@ -71,23 +76,26 @@ def _summary(games: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     )
 
 
-def advance(state: DataFrame, games: DataFrame, history: DataFrame, order: str = "ts", **sizes: int) -> Advanced:
+def advance(
+    state: DataFrame, games: DataFrame, history: DataFrame, order: str = "ts", keep: Keep = lambda table, _: table, **sizes: int
+) -> Advanced:
     """The next batch of games: its rows and the state after it.
 
     ``games`` has (account_id, ``order``, match_id, win, real_match), ``history`` the same of all games up to and
     with this batch; only players with late games are read from it. Games of a batch may come
     in any order. Null accounts have no state and are left out; an empty batch changes nothing. A repeated
-    game counts again, as it does over the whole history.
+    game counts again, as it does over the whole history. With ``keep`` each step is worked out once: the
+    replayed players, the batch with their games, its rows and the state.
     """
     known = games.where(F.col("account_id").isNotNull())
     last = state.select(*PLAYER, _place("", "last_order", "last_match").alias("last"))
     early = known.groupBy(*PLAYER).agg(F.min(_place("", order, "match_id")).alias("first"))
-    replayed = early.join(last, list(PLAYER)).where(F.col("first") <= F.col("last")).select(*PLAYER)
+    replayed = keep(early.join(last, list(PLAYER)).where(F.col("first") <= F.col("last")).select(*PLAYER), "replayed")
 
     fresh = known.join(replayed, list(PLAYER), "left_anti")
     again = history.join(replayed, list(PLAYER), "left_semi")
     columns = [*PLAYER, order, "match_id", "win", "real_match"]
-    batch = fresh.select(*columns).unionByName(again.select(*columns))
+    batch = keep(fresh.select(*columns).unionByName(again.select(*columns)), "batch")
     local = signed_streaks(batch, order, **sizes)
 
     # A replayed player starts anew; others go on from their state.
@@ -105,6 +113,7 @@ def advance(state: DataFrame, games: DataFrame, history: DataFrame, order: str =
         (F.coalesce("real_before", nothing) + F.col("real_no")).alias("real_no"),
         F.when(unchanged & same, F.col("streak") + entered).otherwise(F.col("streak")).cast("int").alias("streak"),
     )
+    rows = keep(rows, "rows")
 
     seen = _summary(batch, rows, order).withColumn("fresh", F.lit(True))
     merged = carried.withColumn("fresh", F.lit(False)).unionByName(seen)
@@ -119,7 +128,7 @@ def advance(state: DataFrame, games: DataFrame, history: DataFrame, order: str =
         *PLAYER, F.col("newest.last_order").alias("last_order"), F.col("newest.last_match").alias("last_match"),
         "games", "real_games", F.coalesce("streak", nothing).cast("int").alias("streak"), "classified", "not_abandoned",
     )
-    return Advanced(rows, replayed, following)
+    return Advanced(rows, replayed, keep(following, "state"))
 
 
 def games_played(state: DataFrame, ts: int = 0) -> DataFrame:
@@ -133,13 +142,15 @@ def advance_tables(
 ) -> None:
     """Batch ``number`` (from 0) of a chain of tables under ``folder``, which all executors share.
 
-    Each batch writes its rows, replayed players and state beside those before it and changes nothing, so a
-    batch that was broken off is written again.
+    Each batch writes its games, rows, replayed players and state beside those before it and changes nothing, so a
+    batch that was broken off is written again. ``games`` is read twice and ``history`` once, so they should be tables.
     """
-    state = spark.read.schema(STATE).parquet(f"{folder}/state-{number - 1}") if number else no_state(spark)
-    step = advance(state, games, history, order, **sizes)
-    for name, table in (("rows", step.rows), ("replayed", step.replayed), ("state", step.state)):
+    def keep(table: DataFrame, name: str) -> DataFrame:
         table.write.mode("overwrite").parquet(f"{folder}/{name}-{number}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}-{number}")
+
+    state = spark.read.schema(STATE).parquet(f"{folder}/state-{number - 1}") if number else no_state(spark)
+    advance(state, games, history, order, keep, **sizes)
 
 
 def current_rows(spark: SparkSession, folder: str, number: int) -> DataFrame:

@@ -422,7 +422,10 @@ def streak_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _advanced(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     """The timeline in three batches by time; some games of the first reach the last one late."""
     folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
-    games = source.player_timeline(spark, sf_dir).select("account_id", "ver_us", "match_id", "win", "real_match")
+    timeline = source.player_timeline(spark, sf_dir).select("account_id", "ver_us", "match_id", "win", "real_match")
+    # Every batch reads the games again: they are made from the events once.
+    timeline.write.parquet(f"{folder}/games")
+    games = spark.read.schema(timeline.schema).parquet(f"{folder}/games")
     span = games.agg(F.min("ver_us").alias("low"), F.max("ver_us").alias("high")).first()
     third = (F.col("ver_us") - F.lit(span.low)) * 3 / F.lit(span.high - span.low + 1)
     dealt = games.withColumn("batch", F.when(F.col("match_id") % 37 == 5, 2).otherwise(F.floor(third)))

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_timeline import CUTS
 
 from matchlake.operators import derive, progress, timeline
+from matchlake.plans import queries
 
 SCHEMA = "account_id long, ts long, match_id long, win boolean, real_match double"
 
@@ -54,3 +56,31 @@ def test_empty_batch_changes_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     after = progress.advance(first.state, none, none)
     assert after.rows.collect() == [] and sorted(map(tuple, after.state.collect())) == sorted(map(tuple, first.state.collect()))
+
+
+def test_a_batch_reads_its_inputs_a_fixed_number_of_times(spark, tmp_path):
+    rows, folder = games(6), str(tmp_path / "progress")
+    first = [r for r in rows if r[1] < 60 and r[2] % 9]
+    table = spark.createDataFrame(first, SCHEMA)
+    progress.advance_tables(spark, folder, 0, table, table)
+    read = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def watched(some, count):
+        def seen(_):
+            count.add(1)
+            return True
+
+        return spark.createDataFrame(some, SCHEMA).where(F.udf(seen, "boolean")("match_id"))
+
+    late = [r for r in rows if r not in first]
+    progress.advance_tables(spark, folder, 1, watched(late, read[0]), watched(rows, read[1]))
+    assert spark.read.parquet(f"{folder}/replayed-1").count() > 0
+    assert read[0].value <= 2 * len(late) and read[1].value <= len(rows)
+
+
+def test_batches_of_the_query_are_read_from_written_games(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(progress, "advance_tables", lambda *args: given.extend(args[3:5]))
+    queries._advanced(spark, "/root/testdata/sf0.001")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in given]
+    assert len(plans) == 6 and not any("Aggregate" in p or "Generate" in p for p in plans)
