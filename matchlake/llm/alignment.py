@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces
+from .common import Scratch, pieces, settings
 
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -33,6 +33,8 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK, FAN_IN = 32_768, 16
 #: Bytes of texts that share a dictionary, about.
 BLOCK = 4_000_000
+#: Rows passed to a task at once: they are held by the executor, the task and on the way between them.
+AT_ONCE = 1_000
 #: An id pair as one number: A's id times this plus B's id.
 WIDTH = 1 << 20
 
@@ -219,12 +221,15 @@ def _block(block: int, texts: list[dict], pairs: list[np.ndarray]) -> list[dict]
     """Aligned texts of one block with its dictionary."""
     if not texts:
         return []
-    known, place, counts = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
-    at = 0
-    for row, own in zip(texts, pairs, strict=True):
-        places, times = np.unique(place[at : at + len(own)], return_counts=True)
-        at += len(own)
-        row |= {"kind": "text", "block": block, "n_links": len(own), "places": _small(places), "times": _small(times)}
+    # Each text's distinct pairs come first: they are far fewer than its links.
+    own = [np.unique(p, return_counts=True) for p in pairs]
+    known, place = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+    counts, at = np.zeros(len(known), np.int64), 0
+    for row, linked, (distinct, times) in zip(texts, pairs, own, strict=True):
+        places = place[at : at + len(distinct)]
+        at += len(distinct)
+        counts[places] += times
+        row |= {"kind": "text", "block": block, "n_links": len(linked), "places": _small(places), "times": _small(times)}
     return [*texts, {"kind": "dictionary", "block": block, "pairs": known, "counts": counts}]
 
 
@@ -369,7 +374,8 @@ def _finished(vocabularies: Vocabularies) -> Callable[[Iterator[pa.RecordBatch]]
 def _aligned(documents: DataFrame, vocabularies: Vocabularies, scratch: Scratch, chunk: int, fan_in: int, block: int) -> DataFrame:
     """Texts and dictionaries of all blocks."""
     texts = documents.select(F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    first = scratch.write(texts.mapInArrow(_aligner(vocabularies, chunk, block), _ROWS), "aligned")
+    with settings(documents.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(AT_ONCE)}):
+        first = scratch.write(texts.mapInArrow(_aligner(vocabularies, chunk, block), _ROWS), "aligned")
     chunks = first.where("kind = 'chunk'")
     longest = chunks.agg(F.max("n_chunks")).first()[0]
     if longest is None:

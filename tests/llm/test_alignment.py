@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -135,3 +136,34 @@ def test_groups_give_back_the_text(spark):
 
 def test_empty_table(spark):
     assert al.aligned(documents(spark, [])).collect() == []
+
+
+def test_a_block_holds_little_more_than_its_links():
+    rng = np.random.default_rng(4)
+    pairs = [rng.integers(0, 500, 10_000) for _ in range(100)]
+    texts = [{"doc_id": k} for k in range(len(pairs))]
+    tracemalloc.start()
+    *found, dictionary = al._block(7, texts, pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(p.nbytes for p in pairs)
+    known, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    assert (dictionary["pairs"] == known).all() and (dictionary["counts"] == counts).all()
+    for row, own in zip(found, pairs, strict=True):
+        back = np.repeat(known[al._numbers(row["places"])], al._numbers(row["times"]))
+        assert (back == np.sort(own)).all() and row["n_links"] == len(own)
+
+
+def test_tasks_get_few_rows_at_once(spark):
+    batches = spark.sparkContext.accumulator(0)
+
+    def counted(given):
+        for batch in given:
+            batches.add(1)
+            yield batch
+
+    rows = documents(spark, [(k, "a b") for k in range(3 * al.AT_ONCE)]).coalesce(1)
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = al.aligned(rows.select("doc_id", "text").mapInArrow(counted, "doc_id bigint, text string"))
+    assert batches.value == 3 and found.count() == 3 * al.AT_ONCE
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == setting
