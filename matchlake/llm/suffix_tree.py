@@ -30,7 +30,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, pieces, space_words, texts_of
+from .common import TIDY, Scratch, held_out, pieces, settings, space_words, texts_of
 
 #: Tokens of the longest contexts.
 DEPTH = 4
@@ -47,6 +47,8 @@ END = b""
 HELD, HELD_GRAMS = 400_000, 1_500_000
 #: Bits of the tables that thin what tasks list.
 BITS = 1 << 26
+#: Passes that join the keys which texts list, a part of the keys each: only that part is shuffled at a time.
+PASSES = 4
 #: Key of the place before a text, and by how many bits the key of what stands before is rotated.
 START, TURN = 0x5D588B656C078965, 23
 
@@ -174,7 +176,8 @@ def _transitions(docs: DataFrame, letters: Broadcast, often: Broadcast, listed:
                 context, suffix, counts = (np.concatenate(c) for c in zip(*held, strict=True))
             else:
                 context = suffix = counts = np.zeros(0, np.int64)
-            order = np.lexsort((suffix, context))
+            # By one key of both; where different runs share it, some counts are passed on in parts.
+            order = np.argsort(_turned(context) ^ suffix)
             context, suffix, counts = context[order], suffix[order], counts[order]
             first = np.ones(len(order), bool)
             first[1:] = (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])
@@ -226,7 +229,8 @@ def _grow(counted: DataFrame, contexts: DataFrame, parents: DataFrame, scratch:
     whole = F.col("total") + SMOOTH
     falls = found.groupBy("context").agg(F.first("total").alias("total"), F.sum("n").alias("seen"))
     falls = falls.select("context", "total", ((whole - F.col("seen")) / whole).alias("fall"))
-    mine = found.drop("total").join(falls, "context").withColumn("p", F.col("n") / whole + F.col("fall") * F.col("above"))
+    probability = F.col("n") / whole + F.col("fall") * F.col("above")
+    mine = found.drop("total").join(falls, "context").withColumn("p", probability)
     sums = mine.groupBy("context").agg(
         F.first("total").alias("total"),
         F.first("fall").alias("fall"),
@@ -237,7 +241,7 @@ def _grow(counted: DataFrame, contexts: DataFrame, parents: DataFrame, scratch:
     divergence = F.col("inner") + F.col("left") * F.log(F.col("left") / F.col("base"))
     kept = sums.where(F.col("total") * divergence > KEEP * F.log(F.greatest("total", F.lit(2))))
     kept = scratch.write(kept.select("context", "total", "fall"), f"contexts-{level}")
-    chosen = mine.join(kept.select("context"), "context", "left_semi")
+    chosen = found.drop("total").join(kept, "context").withColumn("p", probability)
     value = F.log10("p") - F.log10("above") - F.log10("fall")
     listed = scratch.write(chosen.select("key", "p", "n", value.alias("value")), f"transitions-{level}")
     return found, listed, kept
@@ -272,6 +276,8 @@ class Model:
                 for table in tables:
                     table.unpersist()
             found, transitions, kept = _grow(counted, contexts, parents, scratch, level)
+            # Nothing reads these any more.
+            scratch.drop("counts-1" if level == 1 else f"candidates-{level - 1}")
             if kept.isEmpty():
                 break
             self.levels.append((transitions, kept))
@@ -281,6 +287,8 @@ class Model:
             contexts = contexts.join(kept.select(F.col("context").alias("parent")), "parent", "left_semi")
             often, listed, parents = contexts.select("context"), transitions.select("key"), transitions
 
+        for name in ("counts-2", f"candidates-{level}"):
+            scratch.drop(name)
         values = docs.sparkSession.createDataFrame([], "key bigint, value double, n bigint")
         for transitions, kept in self.levels:
             values = values.unionByName(transitions.select("key", "value", "n")).unionByName(
@@ -347,7 +355,8 @@ def score(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "suffix-tree")
     docs = _documents(documents)
-    model = Model(docs, scratch)
+    with settings(docs.sparkSession, TIDY):
+        model = Model(docs, scratch)
     total, letters = model.total, model.letters
     sent = docs.sparkSession.sparkContext.broadcast(Tree(model))
     denominator = math.log10(total + model.distinct + 1)
@@ -383,15 +392,20 @@ def score(documents: DataFrame) -> DataFrame:
     )
     # Numbers of rows are settled by writing them.
     numbered = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.write(numbered, "scored")
+    with settings(docs.sparkSession, TIDY):
+        scored = scratch.write(numbered, "scored")
     others = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t"))
     others = others.select("row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
     rare = model.tokens.where(F.col("n") < COMMON * total)
     more = others.join(rare, "token").select(
         "row", "times", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.lit(0.0).alias("value")
     )
-    met = scored.select("row", F.explode("keys").alias("key")).join(model.rest, "key")
-    more = more.unionByName(met.select("row", F.lit(0).cast("bigint").alias("times"), F.lit(0.0).alias("logs"), "value"))
+    for number in range(PASSES):
+        own = lambda key: F.pmod(key, F.lit(PASSES)) == number  # noqa: B023, E731
+        met = scored.select("row", F.explode(F.filter("keys", own)).alias("key")).join(model.rest.where(own(F.col("key"))), "key")
+        with settings(docs.sparkSession, TIDY):
+            met = scratch.write(met.groupBy("row").agg(F.sum("value").alias("value")), f"met-{number}")
+        more = more.unionByName(met.select("row", F.lit(0).cast("bigint").alias("times"), F.lit(0.0).alias("logs"), "value"))
     more = more.groupBy("row").agg(F.sum("times").alias("known"), F.sum("logs").alias("logs"), F.sum("value").alias("value"))
     base = F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
     return scored.join(more, "row", "left").select(

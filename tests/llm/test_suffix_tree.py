@@ -124,6 +124,16 @@ def test_tree_grows_with_the_corpus(spark, monkeypatch):
     assert many[0] > 2 * few[0] and many[1] > 2 * few[1]
 
 
+def test_tables_that_nothing_reads_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CONTEXT", 20)
+    docs = table(spark, MIDDLE, "documents").where("doc_id % 5 = 0")
+    scratch = Scratch(spark, "test-tree")
+    scratch.folder = str(tmp_path / "tree")
+    model = suffix_tree.Model(suffix_tree._documents(docs), scratch)
+    left = {p.name.split("-")[0] for p in (tmp_path / "tree").iterdir()}
+    assert left == {"tokens", "contexts", "transitions"} and all(t.count() for level in model.levels for t in level)
+
+
 def test_hashes_are_those_of_sql(spark):
     words = [b"", b"a", b"0123456789" * 9, "äé".encode()]
     found = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", F.xxhash64("w").alias("h"))
