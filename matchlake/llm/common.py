@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,39 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+class Words(NamedTuple):
+    """Words of several texts in order: the distinct ones, the number of each one's there, and how many a text has."""
+
+    distinct: pa.Array
+    numbers: np.ndarray
+    sizes: np.ndarray
+
+
+def split_words(texts: pa.Array) -> Words:
+    """As ``space_words`` of each text of a string column; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # White space at either end leaves empty words.
+    empty = pc.equal(pc.binary_length(words), 0)
+    if pc.any(empty).as_py():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~empty.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(pc.invert(empty))
+    coded = words.dictionary_encode()
+    return Words(coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), sizes)
+
+
+def text_pieces(batches: Iterable[pa.RecordBatch], name: str, rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows and, unless a text is larger, bytes of texts."""
+    for batch in pieces(batches, rows):
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_numpy()
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = ends[start] - sizes[start]
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -14,23 +14,29 @@ to tasks, at most 1 / ``COMMON`` of a kind and length; those of all others are j
 task lists for the join is first thinned by a bit table of a fixed size, which can only
 let too much pass, and never too little.
 
+What tasks count or list goes through shuffles as rows of packed numbers, a row for each bucket of a block of
+texts. Buckets follow from the keys, so that all of a key meets in one task; there are as many as the corpus
+needs to keep each small. Texts are scored in passes over a part of the rows each: a text is read in one only.
+
 Contexts and transitions go by 64-bit keys: the rotated key of the tokens before, xor the token's hash.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TIDY, Scratch, held_out, pieces, settings, space_words, texts_of
+from .common import TIDY, Scratch, Words, held_out, settings, split_words, text_pieces
 
 #: Tokens of the longest contexts.
 DEPTH = 4
@@ -47,10 +53,14 @@ END = b""
 HELD, HELD_GRAMS = 400_000, 1_500_000
 #: Bits of the tables that thin what tasks list.
 BITS = 1 << 26
-#: Passes that join the keys which texts list, a part of the keys each: only that part is shuffled at a time.
+#: Passes that score a part of the rows each: only what these list is shuffled at a time.
 PASSES = 4
+#: Counted occurrences, and joined values or tokens, for each bucket; buckets of the join at least.
+BUCKET_RUNS, BUCKET_VALUES, BUCKETS = 500_000, 100_000, 64
 #: Key of the place before a text, and by how many bits the key of what stands before is rotated.
 START, TURN = 0x5D588B656C078965, 23
+#: Of xxhash64.
+PRIMES = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -62,21 +72,25 @@ def _documents(documents: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over the training rows; the end is the empty token."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["token", "n"]
-            )
-
-        for batch in pieces(batches):
-            for text in texts_of(batch, "text"):
-                counts.update(space_words(text or b""))
-                counts[END] += 1
-            if len(counts) > HELD:
-                yield out()
-                counts.clear()
-        yield out()
+        held: list[pa.Table] = []
+        ends = 0
+
+        def merged() -> pa.Table:
+            table = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+            return table.rename_columns({"n_sum": "n"}).select(["token", "n"])
+
+        for batch in text_pieces(batches, "text"):
+            words = split_words(batch.column(0))
+            ends += batch.num_rows
+            counts = np.bincount(words.numbers, minlength=len(words.distinct))
+            held.append(pa.table({"token": words.distinct, "n": pa.array(counts, pa.int64())}))
+            if sum(map(len, held)) > 2 * HELD:
+                held[:] = [merged()]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches()
+        if ends:
+            held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())}))
+            yield from merged().to_batches()
 
     parts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "token binary, n bigint")
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -88,28 +102,62 @@ def token_hash(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _rotated(values: np.ndarray, by: int) -> np.ndarray:
+    return (values << np.uint64(by)) | (values >> np.uint64(64 - by))
+
+
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """``token_hash`` of a binary column: words under 32 bytes together, longer ones one by one."""
+    one, two, three, four, five = (np.uint64(p) for p in PRIMES)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    at, sizes = ends[:-1], np.diff(ends)
+    raw = np.concatenate([np.frombuffer(data or b"", np.uint8), np.zeros(8, np.uint8)])
+    # Eight and four bytes from any place.
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    quad = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))
+    value = sizes.astype(np.uint64) + np.uint64(42) + five
+    for k in range(0, 24, 8):
+        own = np.flatnonzero((sizes >= k + 8) & (sizes < 32))
+        value[own] = _rotated(value[own] ^ (_rotated(eight[at[own] + k] * two, 31) * one), 27) * one + four
+    own = np.flatnonzero(sizes & 4)
+    value[own] = _rotated(value[own] ^ (quad[at[own] + (sizes[own] & ~7)].astype(np.uint64) * one), 23) * two + three
+    for k in range(3):
+        own = np.flatnonzero(sizes & 3 > k)
+        value[own] = _rotated(value[own] ^ (raw[at[own] + (sizes[own] & ~3) + k].astype(np.uint64) * five), 11) * one
+    value = (value ^ (value >> np.uint64(33))) * two
+    value = (value ^ (value >> np.uint64(29))) * three
+    found = (value ^ (value >> np.uint64(32))).view(np.int64)
+    for k in np.flatnonzero(sizes >= 32).tolist():
+        found[k] = token_hash(words[k].as_py())
+    return found
+
+
 class Alphabet:
-    """Common tokens, which are sent to tasks, with their counts and hashes."""
+    """Common tokens, which are sent to tasks, with their counts."""
 
     def __init__(self, rows: Iterable[tuple[bytes, int]]):
         common = sorted(((bytes(t), int(n)) for t, n in rows), key=lambda x: (-x[1], x[0]))
-        self.numbers = {token: k for k, (token, _) in enumerate(common)}
+        self.tokens = pa.array([token for token, _ in common], pa.binary())
         self.counts = np.array([n for _, n in common] + [0], np.int64)
-        self.hashes = np.array([token_hash(t) for t, _ in common] + [0], np.int64)
+        self.end = dict(common).get(END, 0)
+
+    def encode(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the tokens; those that were not sent have the last."""
+        return pc.index_in(words, self.tokens).fill_null(len(self.tokens)).to_numpy().astype(np.int64)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the tokens and the end; tokens that were not sent have the last."""
-        rest = len(self.numbers)
-        get = self.numbers.get
-        return np.fromiter((get(w, rest) for w in [*words, END]), np.int64, len(words) + 1)
 
-    def symbols(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-        """Hashes of the start, the tokens and the end."""
-        found = np.empty(len(numbers) + 1, np.int64)
-        found[0], found[1:] = START, self.hashes[numbers]
-        for k in np.flatnonzero(numbers == len(self.numbers)):
-            found[k + 1] = token_hash(words[k] if k < len(words) else END)
-        return found
+class Symbols:
+    """Hashes of the start, the tokens and the end of several texts, with the text of each and its place there."""
+
+    def __init__(self, words: Words, hashes: np.ndarray):
+        sizes = words.sizes + 2
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        self.place = np.arange(len(self.text)) - starts[self.text]
+        self.keys = np.full(len(self.text), token_hash(END), np.int64)
+        self.keys[starts] = START
+        self.keys[(self.place > 0) & (self.place <= words.sizes[self.text])] = hashes[words.numbers]
 
 
 def _turned(keys: np.ndarray) -> np.ndarray:
@@ -153,67 +201,107 @@ class BitTable:
         return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of several texts, with the text of each and its place there."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    return np.concatenate(texts), text, np.arange(len(text)) - starts[text]
-
-
-def _transitions(docs: DataFrame, letters: Broadcast, often: Broadcast, listed: Broadcast, least: int, most: int) -> DataFrame:
+def _packed(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of whole numbers and of packed arrays, buffers or bytes."""
+    columns = [[v if isinstance(v, (int, bytes)) else v.tobytes() if isinstance(v, np.ndarray) else v.to_pybytes() for v in c] for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns or [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() if pa.types.is_integer(c.type) else c[k].as_buffer() for c in batch.columns)
+
+
+def _summed(context: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once with its count."""
+    key = _turned(context) ^ suffix
+    order = np.argsort(key)
+    for exact in (False, True):
+        if exact:  # Different pairs share a key.
+            order = np.lexsort((suffix, context))
+        first = np.ones(len(order), bool)
+        one, other, whole = context[order], suffix[order], key[order]
+        first[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+        if not (first[1:] & (whole[1:] == whole[:-1])).any():
+            break
+    at = np.flatnonzero(first)
+    return one[at], other[at], np.add.reduceat(counts[order], at) if len(at) else counts
+
+
+RUNS = pa.schema([("bucket", pa.int32()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+
+
+def _dealt(context: np.ndarray, suffix: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Pairs by bucket: half of its bits are the context's, the others the suffix's, so that a frequent context is spread."""
+    half = bits // 2
+    bucket = ((context & ((1 << (bits - half)) - 1)) << half) | (suffix & ((1 << half) - 1))
+    # By bucket, then by the rest of the context: each is written once for its suffixes.
+    order = np.argsort((bucket << (62 - bits)) | ((context >> bits) & ((1 << (62 - bits)) - 1)))
+    context, suffix, counts, bucket = context[order], suffix[order], counts[order], bucket[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, len(order))).astype(np.int32)
+    found, starts = np.unique(bucket, return_index=True)
+    rows = []
+    for b, low, high in zip(found.tolist(), starts, np.append(starts[1:], len(order)), strict=True):
+        left, right = np.searchsorted(heads, (low, high))
+        rows.append((b, context[heads[left:right]], sizes[left:right], suffix[low:high], counts[low:high].astype(np.int64)))
+    return _packed(rows, RUNS)
+
+
+def _transitions(docs: DataFrame, often: Broadcast, listed: Broadcast, least: int, most: int, total: int) -> DataFrame:
     """(context, suffix, n): occurrences of a context and of the run without its first token, over the training rows.
 
     The contexts have ``least`` to ``most`` tokens. All runs of ``least`` tokens in them must be in
     ``often``, and the last ``least`` tokens of the whole in ``listed``, as rarer parts make a rarer whole.
     """
+    bits = max(0, math.ceil(math.log2(max(total, 1) / BUCKET_RUNS)))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, frequent, known = letters.value, often.value, listed.value
+        frequent, known = often.value, listed.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
+        def merge() -> None:
             if held:
-                context, suffix, counts = (np.concatenate(c) for c in zip(*held, strict=True))
-            else:
-                context = suffix = counts = np.zeros(0, np.int64)
-            # By one key of both; where different runs share it, some counts are passed on in parts.
-            order = np.argsort(_turned(context) ^ suffix)
-            context, suffix, counts = context[order], suffix[order], counts[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])
-            at = np.flatnonzero(first)
-            counts = np.add.reduceat(counts, at) if len(at) else counts
-            held[:] = [(context[at], suffix[at], counts)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["context", "suffix", "n"])
-
-        for batch in pieces(batches):
-            texts = []
-            for text in texts_of(batch, "text"):
-                words = space_words(text or b"")
-                texts.append(alphabet.symbols(words, alphabet.encode(words)))
-            if not texts:
-                continue
-            symbols, _, place = _joined(texts)
-            keys = symbols
+                held[:] = [_summed(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+
+        for batch in text_pieces(batches, "text"):
+            words = split_words(batch.column(0))
+            symbols = Symbols(words, token_hashes(words.distinct))
+            keys = symbols.keys
             for _ in range(least - 1):
-                keys = _longer(keys, symbols)
+                keys = _longer(keys, symbols.keys)
             parts, fits = frequent.has(keys), known.has(keys)
             for length in range(least, most + 1):
                 fits = fits & _shift(parts, length - least + 1)
-                chosen = np.flatnonzero(fits & (place >= length))
+                chosen = np.flatnonzero(fits & (symbols.place >= length))
                 if len(chosen):
                     held.append((keys[chosen - 1], keys[chosen], np.ones(len(chosen), np.int64)))
-                keys = _longer(keys, symbols)
+                keys = _longer(keys, symbols.keys)
             if sum(len(c) for c, _, _ in held) > HELD_GRAMS:
-                part = out()
+                merge()
                 if len(held[0][0]) > HELD_GRAMS // 2:
-                    yield part
-                    held.clear()
-        yield out()
-
-    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "context bigint, suffix bigint, n bigint")
-    counts = parts.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= TRANSITION)
+                    yield _dealt(*held.pop(), bits)
+        merge()
+        if held:
+            yield _dealt(*held.pop(), bits)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in itertools.groupby(_unpacked(batches), lambda row: row[0]):
+            blocks = []
+            for _, contexts, sizes, suffixes, counts in rows:
+                context = np.repeat(np.frombuffer(contexts, np.int64), np.frombuffer(sizes, np.int32))
+                blocks.append((context, np.frombuffer(suffixes, np.int64), np.frombuffer(counts, np.int64)))
+            context, suffix, counts = _summed(*(np.concatenate(c) for c in zip(*blocks, strict=True)))
+            enough = counts >= TRANSITION
+            yield pa.RecordBatch.from_arrays([pa.array(c[enough]) for c in (context, suffix, counts)], ["context", "suffix", "n"])
+
+    parts = docs.where(~F.col("held_out")).select("text")
+    parts = parts.mapInArrow(run, "bucket int, contexts binary, sizes binary, suffixes binary, counts binary")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    return parts.mapInArrow(count, "context bigint, suffix bigint, n bigint")
 
 
 def _grow(counted: DataFrame, contexts: DataFrame, parents: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -272,7 +360,7 @@ class Model:
             if level < 3:
                 # The first pass counts pairs of tokens, the second one all longer runs.
                 tables = [context.broadcast(BitTable(t)) for t in (often, listed)]
-                counted = scratch.write(_transitions(docs, self.letters, *tables, level, 1 if level == 1 else DEPTH), f"counts-{level}")
+                counted = scratch.write(_transitions(docs, *tables, level, 1 if level == 1 else DEPTH, self.total), f"counts-{level}")
                 for table in tables:
                     table.unpersist()
             found, transitions, kept = _grow(counted, contexts, parents, scratch, level)
@@ -301,47 +389,147 @@ class Model:
         self.depth = len(self.levels)
 
 
+class Sent:
+    """Values by key, found by trying a key's place and those after it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << (4 * len(keys) + 1).bit_length()
+        self.mask = size - 1
+        # What stands in free places is no key.
+        self.free = int(np.setdiff1d(np.arange(len(keys) + 1), keys)[0])
+        self.keys, self.values, self.steps = np.full(size, self.free, np.int64), np.zeros(size), 0
+        while len(keys):
+            place = self.place(keys)
+            open_ = np.flatnonzero(self.keys[place] == self.free)
+            places, first = np.unique(place[open_], return_index=True)
+            first = open_[first]
+            self.keys[places], self.values[places] = keys[first], values[first]
+            keys, values = np.delete(keys, first), np.delete(values, first)
+            self.steps += 1
+
+    def place(self, keys: np.ndarray, step: int | None = None) -> np.ndarray:
+        return ((keys >> 20) + (self.steps if step is None else step)) & self.mask
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys or 0, and whether a key is there."""
+        values, there = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        left = np.flatnonzero(keys != self.free)
+        for step in range(self.steps):
+            place = self.place(keys[left], step)
+            stands = self.keys[place]
+            hit = stands == keys[left]
+            there[left[hit]], values[left[hit]] = True, self.values[place[hit]]
+            left = left[~hit & (stands != self.free)]
+        return values, there
+
+
 class Tree:
     """What tasks need of a model: values of frequent keys, and which keys others may have."""
 
     def __init__(self, model: Model):
-        self.keys, self.values, self.others, self.depth = model.keys, model.values, model.others, model.depth
+        self.sent, self.others, self.depth = Sent(model.keys, model.values), model.others, model.depth
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values of the keys or 0, and whether a key is there, or may be among the others."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            there = self.keys[at] == keys
-            values = np.where(there, self.values[at], 0.0)
-        else:
-            there, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        values, there = self.sent.look_up(keys)
         return values, there, ~there & self.others.has(keys)
 
-    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[list[int]]]:
-        """For each text the sum of the values that are here, and the keys to be joined."""
-        symbols, text, place = _joined(texts)
-        sums, places, keys = np.zeros(len(texts)), [], []
-        shorter, at = symbols, np.flatnonzero(place >= 1)
+    def score(self, symbols: Symbols, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the texts the sum of the values that are here, and the keys to be joined with their texts."""
+        text, place = symbols.text, symbols.place
+        sums, places, keys = np.zeros(many), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        shorter, at = symbols.keys, np.flatnonzero(place >= 1)
         for length in range(1, self.depth + 1):
-            longer = _longer(shorter, symbols)
+            longer = _longer(shorter, symbols.keys)
             at = at[place[at] >= length]
             context = ~shorter[at - 1]
             value, there, maybe = self.look_up(context)
-            sums += np.bincount(text[at], value, len(texts))
+            sums += np.bincount(text[at], value, many)
             places.append(text[at[maybe]])
             keys.append(context[maybe])
             at = at[there | maybe]
             value, _, maybe = self.look_up(longer[at])
-            sums += np.bincount(text[at], value, len(texts))
+            sums += np.bincount(text[at], value, many)
             places.append(text[at[maybe]])
             keys.append(longer[at[maybe]])
             shorter = longer
-        if not keys:
-            return sums, [[] for _ in texts]
-        place, key = np.concatenate(places), np.concatenate(keys)
-        order = np.argsort(place, kind="stable")
-        ends = np.cumsum(np.bincount(place, minlength=len(texts)))[:-1]
-        return sums, np.split(key[order], ends)
+        return sums, np.concatenate(places), np.concatenate(keys)
+
+
+#: What is shuffled to score: values of the model, what blocks of rows list, and what else is known of these rows.
+MODEL, LISTS, ROWS = range(3)
+SHEETS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary()), ("tokens", pa.binary()), ("times", pa.binary())])
+SHEET = "bucket int, kind int, block bigint, keys binary, numbers binary, tokens binary, times binary"
+
+
+def _in_buckets(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the order inside, and where each bucket begins in it."""
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> 40) & (buckets - 1)
+
+
+def _sheets(keys: np.ndarray, numbers: np.ndarray, tokens: pa.Array, hashes: np.ndarray, times: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """By bucket: its keys with a number each, and its tokens with one, the tokens joined by spaces."""
+    order, ends = _in_buckets(_bucket(keys, buckets), buckets)
+    keys, numbers = keys[order], numbers[order]
+    order, stops = _in_buckets(_bucket(hashes, buckets), buckets)
+    times = times[order]
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), tokens.take(pa.array(order))), b" ")
+    for b in np.flatnonzero((np.diff(ends) > 0) | (np.diff(stops) > 0)).tolist():
+        own, its = slice(ends[b], ends[b + 1]), slice(stops[b], stops[b + 1])
+        yield b, keys[own], numbers[own], joined[b].as_buffer(), times[its]
+
+
+def _model_sheets(model: Model, buckets: int) -> DataFrame:
+    """The values of keys and the counts of tokens that were not sent."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tokens = batch.filter(pc.is_null(batch["token"])), batch.filter(pc.is_valid(batch["token"]))
+            sheets = _sheets(
+                keys["key"].to_numpy(), keys["value"].to_numpy(), tokens["token"].cast(pa.binary()),
+                tokens["key"].to_numpy(), tokens["n"].to_numpy(), buckets,
+            )
+            yield _packed([(b, MODEL, 0, *sheet) for b, *sheet in sheets], SHEETS)
+
+    none = F.lit(None).cast("binary").alias("token")
+    values = model.rest.select("key", "value", none, F.lit(0).cast("bigint").alias("n"))
+    tokens = model.tokens.where(F.col("n") < COMMON * model.total)
+    rest = values.unionByName(tokens.select(F.xxhash64("token").alias("key"), F.lit(0.0).alias("value"), "token", "n"))
+    return rest.mapInArrow(run, SHEET)
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each list the sums of its rows: values of keys, known tokens and logs of their counts. By bucket, the model first."""
+    for _, rows in itertools.groupby(_unpacked(batches), lambda row: row[0]):
+        parts, counts, keys, values = [], {}, None, None
+        for bucket, kind, block, own, numbers, tokens, times in rows:
+            words = tokens.to_pybytes().split(b" ") if len(times) else []
+            if kind == MODEL:
+                parts.append((np.frombuffer(own, np.int64), np.frombuffer(numbers, np.float64)))
+                counts.update(zip(words, np.frombuffer(times, np.int64).tolist(), strict=True))
+                continue
+            if kind == ROWS:
+                yield _packed([(bucket, kind, block, own, numbers, tokens, times)], SHEETS)
+                continue
+            if keys is None:
+                keys, values = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+                order = np.argsort(keys)
+                keys, values = np.append(keys[order], 0), np.append(values[order], 0.0)
+            listed, of = np.frombuffer(own, np.int64), np.frombuffer(numbers, np.int32)
+            at = np.searchsorted(keys[:-1], listed)
+            found = (at < len(keys) - 1) & (keys[at] == listed)
+            sums = np.bincount(of[found], values[at[found]])
+            texts = np.flatnonzero(np.bincount(of[found]))
+            n = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+            of = np.frombuffer(times, np.int32)[n > 0]
+            known, logs = np.bincount(of), np.bincount(of, np.log10(n[n > 0] + 1))
+            some = np.flatnonzero(known)
+            parts_ = [texts.astype(np.int32), sums[texts], some.astype(np.int32), np.stack([known[some].astype(np.float64), logs[some]])]
+            yield _packed([(bucket, LISTS, block, *parts_)], SHEETS)
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -353,67 +541,73 @@ def score(documents: DataFrame) -> DataFrame:
     learned from; repeated rows are each returned and counted; other columns are not
     read. Without training rows every token is unknown.
     """
-    scratch = Scratch(documents.sparkSession, "suffix-tree")
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "suffix-tree")
     docs = _documents(documents)
-    with settings(docs.sparkSession, TIDY):
+    with settings(spark, TIDY):
         model = Model(docs, scratch)
     total, letters = model.total, model.letters
-    sent = docs.sparkSession.sparkContext.broadcast(Tree(model))
+    sent = spark.sparkContext.broadcast(Tree(model))
     denominator = math.log10(total + model.distinct + 1)
+    most = max(model.rest.count(), model.distinct) / BUCKET_VALUES
+    buckets = max(BUCKETS, 1 << math.ceil(math.log2(max(most, 1))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, tree = letters.value, sent.value
-        rest = len(alphabet.numbers)
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "tree_sum", "tokens", "times", "keys"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        rest, end = len(alphabet.tokens), alphabet.end
         logs = np.log10(alphabet.counts + 1.0)
-        for batch in pieces(batches):
-            rows, texts = [], []
-            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch, "text"), strict=True):
-                words = space_words(text or b"")
-                numbers = alphabet.encode(words)
-                known = numbers < rest
-                others = Counter(words[k] for k in np.flatnonzero(~known[:-1]))
-                texts.append(alphabet.symbols(words, numbers))
-                rows.append((
-                    doc_id, held, len(numbers), int(known.sum()), float(logs[numbers[known]].sum()),
-                    list(others.keys()), list(others.values()),
-                ))
-            if not rows:
-                continue
-            columns = [list(c) for c in zip(*rows, strict=True)]
-            sums, keys = tree.score(texts)
-            columns = [*columns[:5], sums, *columns[5:], keys]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    schema = (
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_sum double, "
-        "tree_sum double, tokens array<binary>, times array<bigint>, keys array<bigint>"
-    )
-    # Numbers of rows are settled by writing them.
-    numbered = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    with settings(docs.sparkSession, TIDY):
-        scored = scratch.write(numbered, "scored")
-    others = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t"))
-    others = others.select("row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
-    rare = model.tokens.where(F.col("n") < COMMON * total)
-    more = others.join(rare, "token").select(
-        "row", "times", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.lit(0.0).alias("value")
-    )
-    for number in range(PASSES):
-        own = lambda key: F.pmod(key, F.lit(PASSES)) == number  # noqa: B023, E731
-        met = scored.select("row", F.explode(F.filter("keys", own)).alias("key")).join(model.rest.where(own(F.col("key"))), "key")
-        with settings(docs.sparkSession, TIDY):
-            met = scratch.write(met.groupBy("row").agg(F.sum("value").alias("value")), f"met-{number}")
-        more = more.unionByName(met.select("row", F.lit(0).cast("bigint").alias("times"), F.lit(0.0).alias("logs"), "value"))
-    more = more.groupBy("row").agg(F.sum("times").alias("known"), F.sum("logs").alias("logs"), F.sum("value").alias("value"))
-    base = F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(denominator)
-    return scored.join(more, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("tree_sum") + F.coalesce("value", F.lit(0.0))).alias("score"),
-    )
+        for k, batch in enumerate(text_pieces(batches, "text")):
+            block = (TaskContext.get().partitionId() << 32) + k
+            many = batch.num_rows
+            words = split_words(batch.column("text"))
+            of = np.repeat(np.arange(many), words.sizes)
+            hashed, numbers = token_hashes(words.distinct), alphabet.encode(words.distinct)
+            symbols = Symbols(words, hashed)
+            sums, texts, keys = tree.score(symbols, many)
+            numbers = numbers[words.numbers]
+            base = np.bincount(of, np.where(numbers < rest, logs[numbers], 0.0), many) + math.log10(end + 1)
+            known = np.bincount(of[numbers < rest], minlength=many) + (end > 0)
+            rare = np.flatnonzero(numbers == rest)
+            tokens = words.numbers[rare]
+            sheets = _sheets(keys, texts.astype(np.int32), words.distinct.take(pa.array(tokens)), hashed[tokens], of[rare].astype(np.int32), buckets)
+            rows = [(b, LISTS, block, *sheet) for b, *sheet in sheets]
+            ids = batch.column("doc_id")
+            flags = np.stack([batch.column("held_out").to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)])
+            whole = np.stack([ids.fill_null(0).to_numpy(), words.sizes + 1, known]).astype(np.int64)
+            rows.append((block % buckets, ROWS, block, whole, np.stack([base, sums]), flags, b""))
+            yield _packed(rows, SHEETS)
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in itertools.groupby(_unpacked(batches), lambda row: row[2]):
+            for _, kind, _, first, second, third, fourth in rows:
+                # What is known of the rows is the first of their block.
+                if kind == ROWS:
+                    ids, n_tokens, known = np.frombuffer(first, np.int64).reshape(3, -1).copy()
+                    base, value = np.frombuffer(second, np.float64).reshape(2, -1).copy()
+                    held, null = np.frombuffer(third, bool).reshape(2, -1)
+                    continue
+                value[np.frombuffer(first, np.int32)] += np.frombuffer(second, np.float64)
+                of, (times, logs) = np.frombuffer(third, np.int32), np.frombuffer(fourth, np.float64).reshape(2, -1)
+                known[of] += times.astype(np.int64)
+                base[of] += logs
+            base -= n_tokens * denominator
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=null), pa.array(held), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(base + value)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    with settings(spark, TIDY):
+        values = scratch.write(_model_sheets(model, buckets), "values")
+        scored = []
+        for number in range(PASSES):
+            own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES)) == number)
+            sheets = own.mapInArrow(run, SHEET).unionByName(values)
+            found = sheets.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_joined, SHEET)
+            found = found.repartition("block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(finish, schema)
+            scored.append(scratch.write(found, f"scored-{number}"))
+        scratch.drop("values")
+    whole = scored[0]
+    for part in scored[1:]:
+        whole = whole.unionByName(part)
+    return whole

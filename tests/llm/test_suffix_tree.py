@@ -124,6 +124,17 @@ def test_tree_grows_with_the_corpus(spark, monkeypatch):
     assert many[0] > 2 * few[0] and many[1] > 2 * few[1]
 
 
+def test_rows_of_the_shuffles_are_blocks(spark):
+    """What is listed goes through shuffles packed, and a text is in one pass: no written table has a row for each key."""
+    docs = table(spark, MIDDLE, "documents")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    found = suffix_tree.score(docs)
+    read = sorted({f.rsplit("/", 2)[-2] for f in found.inputFiles()})
+    assert folder and set(read) <= {f"scored-{k}" for k in range(suffix_tree.PASSES)} and len(read) > 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and found.count() == docs.count()
+
+
 def test_tables_that_nothing_reads_are_deleted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_tree, "CONTEXT", 20)
     docs = table(spark, MIDDLE, "documents").where("doc_id % 5 = 0")
@@ -140,6 +151,45 @@ def test_hashes_are_those_of_sql(spark):
     assert {bytes(r.w): r.h for r in found.collect()} == {w: suffix_tree.token_hash(w) for w in words}
 
 
+def test_hashes_of_a_column_are_those_of_its_words():
+    rng = random.Random(2)
+    words = [bytes(rng.randrange(256) for _ in range(size)) for size in [*range(70), 8, 0, 31]]
+    column = suffix_tree.pa.array(words, suffix_tree.pa.binary())
+    for found, own in ((column, words), (column.slice(5, 40), words[5:45]), (column.slice(0, 0), [])):
+        assert suffix_tree.token_hashes(found).tolist() == [suffix_tree.token_hash(w) for w in own]
+
+
+def test_sent_values():
+    rng = suffix_tree.np.random.default_rng(3)
+    # Many of the same place, zero among them.
+    keys = suffix_tree.np.unique(suffix_tree.np.concatenate([rng.integers(-(1 << 63), 1 << 63, 3000), suffix_tree.np.arange(300)]))
+    sent = suffix_tree.Sent(keys, keys % 1000 + 0.5)
+    asked = suffix_tree.np.concatenate([keys, suffix_tree.np.arange(300, 900), [sent.free]])
+    values, there = sent.look_up(asked)
+    assert there.tolist() == [True] * len(keys) + [False] * 601
+    assert values.tolist() == [*(keys % 1000 + 0.5), *[0.0] * 601]
+    assert not suffix_tree.Sent(keys[:0], keys[:0] + 0.5).look_up(keys)[1].any()
+
+
+def test_pairs_are_summed_and_dealt_whole():
+    """Pairs that share a key and contexts in several buckets are counted apart, each once."""
+    np = suffix_tree.np
+    rng = np.random.default_rng(4)
+    context, suffix = rng.integers(0, 40, 5000), rng.integers(0, 40, 5000)
+    suffix[:2000] ^= suffix_tree._turned(context[:2000])
+    expected = Counter(zip(context.tolist(), suffix.tolist(), strict=True))
+    found = suffix_tree._summed(context, suffix, np.ones(5000, np.int64))
+    assert {(c, s): n for c, s, n in zip(*(f.tolist() for f in found), strict=True)} == expected and len(found[0]) == len(expected)
+    for bits in (0, 1, 5):
+        rows = list(suffix_tree._unpacked([suffix_tree._dealt(*found, bits)]))
+        dealt = []
+        for bucket, *packed in rows:
+            contexts, sizes, suffixes, counts = (np.frombuffer(p, t) for p, t in zip(packed, (np.int64, np.int32, np.int64, np.int64), strict=True))
+            dealt += [(bucket, (c, s), n) for c, s, n in zip(np.repeat(contexts, sizes).tolist(), suffixes.tolist(), counts.tolist(), strict=True)]
+        assert len({b for b, *_ in rows}) == len(rows) <= 1 << bits and Counter(p for _, p, _ in dealt) == Counter(expected.keys())
+        assert all(expected[p] == n for _, p, n in dealt)
+
+
 def test_bit_table_has_all_keys(spark):
     keys = [random.Random(1).randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, -1, 63, 64]
     table_ = suffix_tree.BitTable(spark.createDataFrame([(k,) for k in keys], "key bigint"))
