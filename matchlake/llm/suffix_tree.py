@@ -11,7 +11,7 @@ occurrences. At a kept context a listed token has ``gain + fall * parent's proba
 one ``fall * parent's``. So a text's score is its score at the root plus one value for
 each kept context and one for each listed transition that it meets. Values of the most frequent are sent
 to tasks, at most 1 / ``COMMON`` of a kind and length; those of all others are joined. What a
-task lists for the join is first thinned by a bit table of a fixed size, which can only
+task lists for the join is first thinned by a bit table of bounded size, which can only
 let too much pass, and never too little.
 
 What tasks count or list goes through shuffles as rows of packed numbers, a row for each bucket of a block of
@@ -51,8 +51,8 @@ SMOOTH = 20.0
 END = b""
 #: Distinct tokens or transitions counted in a task before they are passed on.
 HELD, HELD_GRAMS = 400_000, 1_500_000
-#: Bits of the tables that thin what tasks list.
-BITS = 1 << 26
+#: Bits of the tables that thin what tasks list: the fewest, for each key, and the most.
+BITS, KEY_BITS, MOST_BITS = 1 << 26, 16, 1 << 28
 #: Passes that score a part of the rows each: only what these list is shuffled at a time.
 PASSES = 4
 #: Counted occurrences, and joined values or tokens, for each bucket; buckets of the join at least.
@@ -185,19 +185,20 @@ def _shift(values: np.ndarray, by: int) -> np.ndarray:
 
 
 class BitTable:
-    """A set of keys in ``BITS`` bits: has all that were put in, and some others."""
+    """A set of keys in bits: has all that were put in, and some others."""
 
     def __init__(self, keys: DataFrame):
-        """From the first column; at most BITS / 64 rows reach the driver."""
-        key = F.col(keys.columns[0])
-        bits = keys.select(F.pmod(key, F.lit(BITS)).alias("bit"))
+        """From the first column; at most MOST_BITS / 64 rows reach the driver."""
+        self.many = keys.count()
+        self.bits = min(max(BITS, 1 << (KEY_BITS * self.many).bit_length()), MOST_BITS)
+        bits = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(self.bits)).alias("bit"))
         part = F.expr("shiftleft(1L, cast(bit % 64 as int))")
         words = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(part).alias("bits")).toArrow()
-        self.words = np.zeros(BITS // 64, np.int64)
+        self.words = np.zeros(self.bits // 64, np.int64)
         self.words[words["word"].to_numpy()] = words["bits"].to_numpy()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys & (BITS - 1)
+        bit = keys & (self.bits - 1)
         return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
@@ -487,13 +488,24 @@ def _sheets(keys: np.ndarray, numbers: np.ndarray, tokens: pa.Array, hashes: np.
 def _model_sheets(model: Model, buckets: int) -> DataFrame:
     """The values of keys and the counts of tokens that were not sent."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, tokens = batch.filter(pc.is_null(batch["token"])), batch.filter(pc.is_valid(batch["token"]))
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            held.clear()
+            keys, tokens = rows.filter(pc.is_null(rows["token"])), rows.filter(pc.is_valid(rows["token"]))
             sheets = _sheets(
                 keys["key"].to_numpy(), keys["value"].to_numpy(), tokens["token"].cast(pa.binary()),
                 tokens["key"].to_numpy(), tokens["n"].to_numpy(), buckets,
             )
-            yield _packed([(b, MODEL, 0, *sheet) for b, *sheet in sheets], SHEETS)
+            return _packed([(b, MODEL, 0, *sheet) for b, *sheet in sheets], SHEETS)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > HELD:
+                yield out()
+        if held:
+            yield out()
 
     none = F.lit(None).cast("binary").alias("token")
     values = model.rest.select("key", "value", none, F.lit(0).cast("bigint").alias("n"))
@@ -549,7 +561,7 @@ def score(documents: DataFrame) -> DataFrame:
     total, letters = model.total, model.letters
     sent = spark.sparkContext.broadcast(Tree(model))
     denominator = math.log10(total + model.distinct + 1)
-    most = max(model.rest.count(), model.distinct) / BUCKET_VALUES
+    most = max(model.others.many, model.distinct) / BUCKET_VALUES
     buckets = max(BUCKETS, 1 << math.ceil(math.log2(max(most, 1))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -197,6 +197,34 @@ def test_bit_table_has_all_keys(spark):
     assert table_.has(suffix_tree.np.arange(1000, 11_000)).sum() < 100
 
 
+def test_buckets_and_passes_change_no_score(spark, monkeypatch):
+    for name, value in (("CONTEXT", 20), ("TRANSITION", 3), ("COMMON", 0.02), ("HELD", 50), ("HELD_GRAMS", 100)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = list(enumerate(ordered_texts(random.Random(6), 60)))
+    rows += [(None, "a b c"), (None, None), (70, " \t a  b \x0b"), (70, "x" * 50 + " a"), (71, "")]
+
+    def found(buckets, values, runs, passes):
+        for name, value in (("BUCKETS", buckets), ("BUCKET_VALUES", values), ("BUCKET_RUNS", runs), ("PASSES", passes)):
+            monkeypatch.setattr(suffix_tree, name, value)
+        return sorted((str(r[0]), *map(float, r[1:5]), round(r[5], 6), round(r[6], 6)) for r in suffix_tree.score(documents(spark, rows)).collect())
+
+    one = found(1, 100_000, 500_000, 1)
+    assert len(one) == len(rows) and found(64, 1, 10, 3) == one
+
+
+def test_bit_table_grows_with_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BITS", 1 << 8)
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
+    others = suffix_tree.np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 10_000)
+    wide = suffix_tree.BitTable(keys)
+    assert wide.many == 4000 and wide.bits == 1 << 16 and wide.has(others).mean() < 0.1
+    monkeypatch.setattr(suffix_tree, "MOST_BITS", 1 << 10)
+    full = suffix_tree.BitTable(keys)
+    assert full.bits == 1 << 10
+    for table_ in (wide, full):
+        assert table_.has(suffix_tree.np.array([r.key for r in keys.collect()])).all()
+
+
 def test_common_and_rare_tokens_agree(spark, monkeypatch):
     """Counts that are sent and counts that are joined give one result."""
     docs = table(spark, MIDDLE, "documents").limit(200)
